@@ -28,6 +28,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Code points behind a piece that the pattern can look at (``'re``, and the end of a run).
 LOOK = 3
@@ -139,7 +140,7 @@ def encode_documents(df: DataFrame, *, text_col: str = "text", ranks_path: str |
     has to be on every executor. An equally named column is replaced; all others are kept.
     """
     df = df.drop(out_col)
-    schema = df.schema.add(out_col, "array<int>")
+    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         c = codec(ranks_path, pattern)
@@ -152,7 +153,7 @@ def encode_documents(df: DataFrame, *, text_col: str = "text", ranks_path: str |
 def decode_documents(df: DataFrame, *, ids_col: str = "token_ids", ranks_path: str | None = None, pattern: str | None = None, out_col: str = "decoded") -> DataFrame:
     """``df`` with the decoded bytes in ``out_col``; null ids decode to no bytes."""
     df = df.drop(out_col)
-    schema = df.schema.add(out_col, "binary")
+    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.BinaryType())])
 
     def run(batches):
         c = codec(ranks_path, pattern)
