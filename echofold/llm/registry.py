@@ -69,3 +69,12 @@ SELECT page_id, p.payload_bytes, p.payload_digest,
        CASE WHEN most <> page_id THEN most END AS refers_to
 FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest AND p.payload_bytes = m.payload_bytes
 """
+
+
+def op9_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sketch import edited_fingerprints
+
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_sketch"] = op9_sketch
