@@ -78,3 +78,12 @@ def op9_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_sketch"] = op9_sketch
+
+
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_gam import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES["op4_quality_gam"] = op4_quality_gam
