@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import short_batches
+
 #: Code points behind a piece that the pattern can look at (``'re``, and the end of a run).
 LOOK = 3
 LEAF = 2_048
@@ -139,6 +141,7 @@ def encode_documents(df: DataFrame, *, text_col: str = "text", ranks_path: str |
     ``ranks_path`` and ``pattern`` default to the multilingual public tokenizer; the file
     has to be on every executor. An equally named column is replaced; all others are kept.
     """
+    short_batches(df.sparkSession)
     df = df.drop(out_col)
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
 
@@ -169,6 +172,7 @@ def token_digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Row by row in one pass: no shuffle, and no key can gather rows. Repeated rows give
     repeated rows, an empty table none; a null id stays null.
     """
+    short_batches(df.sparkSession)
     keep = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):

@@ -63,3 +63,10 @@ def text_of(col: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def short_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of at most ``rows`` rows in this session: Spark counts rows, not bytes, and texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash
+from .common import short_batches, stash
 
 SPACE = " \t\n\v\f\r"
 BROADCAST_BYTES, SHARD_KEYS, PART_TEXTS, GAMMA = 32 << 20, 1 << 18, 1 << 13, 2
@@ -174,7 +174,7 @@ def drop_common_lines(docs: DataFrame, *, text_col: str = "text", min_docs: int
     line that occurs twice in a row of the table counts once there; repeated rows count each.
     An empty table gives none. Columns named like the new ones are replaced.
     """
-    spark = docs.sparkSession
+    short_batches(docs.sparkSession)
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
     frequent = stash(line_counts(docs, text_col, min_chars).where(F.col("n") >= min_docs), "frequent-lines")
     n = frequent.count()

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import short_batches
+
 #: Labelled rows that a model is fitted on, at most; drawn by a seeded hash of the id.
 SAMPLE_ROWS = 20_000
 FOLDS, THRESHOLD = 5, 0.3
@@ -193,6 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     At most ``sample_rows`` labelled ids, by a seeded hash, are used; null ids and labels are
     not. Of an id with several labels or texts the smallest counts.
     """
+    short_batches(docs.sparkSession)
     usable = labels.select(F.col(id_col).cast("long").alias("l_id"), F.col(label_col).cast("int").alias("y")).where("l_id IS NOT NULL AND y IN (0, 1)").where(fold(F.col("l_id")) != 0)
     sample = usable.groupBy("l_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("l_id", F.lit(seed)), "l_id").limit(sample_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -210,6 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def add_scores(docs: DataFrame, model: AdditiveModel, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with the model's score (0 to 1) of each whole text; an equally named column is replaced."""
+    short_batches(docs.sparkSession)
     docs = docs.drop(out_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -87,3 +87,12 @@ def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_quality_gam"] = op4_quality_gam
+
+
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .order_minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+QUERIES["op2_order_minhash"] = op2_order_minhash

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, scratch, stash
+from .common import drop_path, scratch, short_batches, stash
 
 END = b"\r\n"
 PIECE, LEVEL, SALTS = 1 << 20, 4, 16
@@ -235,6 +235,7 @@ def archive_round_trip(pages: DataFrame, *, folder: str | None = None, **options
     An empty table writes no file and gives no rows. Further columns are ignored.
     """
     spark: SparkSession = pages.sparkSession
+    short_batches(spark)
     raw = scratch(spark, "raw-warc")
     files = write_archives(mark_revisits(pages, **options), raw)
     members = normalise(files, folder or scratch(spark, "warc"))
