@@ -96,3 +96,13 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_order_minhash"] = op2_order_minhash
+
+
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .surrogates import replace_personal_data
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_personal_data(docs, key="surrogates of this corpus", count_col="n_mentions")
+
+
+QUERIES["op6_surrogates"] = op6_surrogates
