@@ -248,6 +248,14 @@ def _by_shards(docs, index, n_shards, text_col, min_chars, min_docs) -> DataFram
     return _filtered(joined, text_col, min_chars, min_docs, probe_of).drop("__gone")
 
 
+def without_common_lines(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
+    """``docs``, with its columns, their texts without common lines and ``length_col`` their new length; every row stays."""
+    out = drop_common_lines(docs, text_col=text_col, **options).withColumn(text_col, F.col("kept_text"))
+    if length_col in docs.columns:
+        out = out.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
+    return out.select(*docs.columns)
+
+
 def line_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of each row of ``docs``; see ``drop_common_lines``."""
     out = drop_common_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), **options)

@@ -106,3 +106,18 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_surrogates"] = op6_surrogates
+
+
+def op5_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .block_labeller import page_texts
+
+    return page_texts(_table(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES |= {"op5_block_labeller": op5_block_labeller, "pipeline": pipeline}
