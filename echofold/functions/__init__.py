@@ -1,0 +1 @@
+"""Parameters, errors, hashes and numpy kernels."""
