@@ -7,6 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.config import MatchConfig
 from ..functions.hashing import PrefixHash, as_bytes, crc32c
@@ -23,7 +24,7 @@ def blocks(streams: DataFrame, block_size: int) -> DataFrame:
     )
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def crc32c_of(data: pd.Series) -> pd.Series:
     """CRC-32C (not the CRC-32 of Spark's own function)."""
     return data.map(lambda b: None if b is None else crc32c(bytes(b))).astype("Int64")
