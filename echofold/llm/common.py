@@ -36,7 +36,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Deletes stashed tables that nothing reads any more."""
+    for df in stashed:
+        drop_path(df.sparkSession, df._stashed_at)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

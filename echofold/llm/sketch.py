@@ -35,8 +35,8 @@ def sketch(text: Column, shingle: int = SHINGLE, one_in: int = ONE_IN) -> Column
 
     def of(h: Column) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (shingle - 1), F.lit(1))), lambda i: F.xxhash64(*(F.get(h, i + (j - 1)) for j in range(shingle))))
-        limit = -(2**63) + 2**64 // one_in
-        return F.array_sort(F.array_distinct(F.filter(each, lambda x: x < F.lit(limit))))
+        last = -(2**63) + 2**64 // one_in - 1
+        return F.array_sort(F.array_distinct(F.filter(each, lambda x: x <= F.lit(last))))
 
     # through a one-element array, so that the words are hashed once and not at each use
     return F.transform(F.array(hashed), of)[0]
