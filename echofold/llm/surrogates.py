@@ -24,20 +24,24 @@ from .common import stash, text_of
 MALE = ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "Г-н", "Господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "Г-жа", "Госпожа")
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+_END = r"(?![\p{L}\p{N}])"
+_LABEL = r"(?:(?i:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
+#: Kinds that begin where a word begins. A secret's mention has its label, which stays.
 KINDS = {
-    "secret": r"(?<=(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?-i:(?![\"'\s]))[^\s\"']{8,}(?=[\"'\s]|$)|\b[0-9a-f]{32,128}\b|\bAKIA[0-9A-Z]{16}\b",
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?\.){1,8}\p{L}{2,24}",
-    "iban": r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b(?<=\d[A-Z0-9 ]{0,6})",
-    "card": r"(?<![\d.,-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
-    "mac": r"\b[0-9a-f]{2}(?:[:-][0-9a-f]{2}){5}\b",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d)])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "name": rf"\b(?-i:(?:{'|'.join((*MALE, *FEMALE))})\.?[ ]{_NAME}(?:[ ]{_NAME})?)",
+    "secret": rf"{_LABEL}[^\s\"']{{8,}}|[0-9a-f]{{32,128}}{_END}|[0-9A-F]{{32,128}}{_END}|AKIA[0-9A-Z]{{16}}{_END}",
+    "email": r"[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?\.){1,8}\p{L}{2,24}",
+    "iban": rf"[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?{_END}(?<=\d[A-Z0-9 ]{{0,6}})",
+    "card": r"(?<![.,-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])",
+    "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
+    "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
+    "mac": rf"[0-9a-fA-F]{{2}}(?:[:-][0-9a-fA-F]{{2}}){{5}}{_END}",
+    "phone": r"(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "name": rf"(?:{'|'.join((*MALE, *FEMALE))})\.?[ ]{_NAME}(?:[ ]{_NAME})?",
 }
-PATTERN = "(?iu)(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
-#: A text with none of these has no mention.
-HINT = r"(?iu)[0-9@]|(?:token|secret|passw|pwd|key)[\"']?\s{0,3}[=:]|\b(?:" + "|".join((*MALE, *FEMALE)) + r")\b"
+_PHONES = r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
+PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(KINDS.values()) + f")|{_PHONES}"
+#: A text with none of these has no mention; the plain searches cost far less than the pattern.
+HINT = "[0-9@=:]"
 _VOWELS, _CONSONANTS = "aeiou", "bdfgklmnprstvz"
 _CYR_VOWELS, _CYR_CONSONANTS = "аеиоу", "бвгдзклмнпрст"
 MOST_ATTEMPTS = 64
@@ -45,20 +49,26 @@ MOST_ATTEMPTS = 64
 
 def mentions(text: Column) -> Column:
     """The whole text's mentions, from left to right, without overlaps."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    some = reduce(lambda a, h: a | text.contains(h + " ") | text.contains(h + ". "), (*MALE, *FEMALE), text.rlike(HINT))
+    return F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def kind_of(value: Column) -> Column:
-    """The first kind whose pattern the whole mention fits; a mention that needs its surroundings to fit is a secret."""
+    """The first kind whose pattern the whole mention fits."""
     out = F.lit("secret")
     for kind, p in reversed(list(KINDS.items())):
-        if kind != "secret":
-            out = F.when(value.rlike(f"(?iu)^(?:{p})$"), F.lit(kind)).otherwise(out)
-    return F.when(value.rlike(r"(?iu)^(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16})$"), F.lit("secret")).otherwise(out)
+        out = F.when(value.rlike(f"^(?:{p}{'|' + _PHONES if kind == 'phone' else ''})$"), F.lit(kind)).otherwise(out)
+    return out
+
+
+def label_of(value: Column) -> Column:
+    """What stands before a secret."""
+    return F.regexp_extract(value, f"^({_LABEL})", 1)
 
 
 def parts_of(kind: Column, value: Column) -> Column:
     """array<struct<type, canon>> of a mention."""
+    value = F.when(kind == "secret", F.expr("substring(value, 1 + length(label))")).otherwise(value)
     bare = F.lower(F.regexp_replace(value, r"[^\p{L}\p{N}]", ""))
     words = F.split(F.regexp_replace(value, r"^\S+\s", ""), " ")
     male = value.rlike("^(?:" + "|".join(MALE) + r")\.?\s")
@@ -167,16 +177,21 @@ def _formatted(value: Column, surrogate: Column) -> Column:
     return F.aggregate(F.split(value, ""), start, step, lambda acc: acc["out"])
 
 
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def replacements(found: DataFrame, key: str) -> DataFrame:
     """(value, replacement) for the distinct mentions of ``found`` (value)."""
-    kinds = stash(found.select("value").distinct().withColumn("kind", kind_of(F.col("value"))).withColumn("parts", parts_of(F.col("kind"), F.col("value"))), "mentions")
+    kinds = stash(found.select("value").distinct().withColumn("kind", kind_of(F.col("value"))).withColumn("label", label_of(F.col("value"))).withColumn("parts", parts_of(F.col("kind"), F.col("value"))), "mentions")
     each = kinds.select("value", "kind", F.posexplode("parts").alias("i", "part")).select("value", "kind", "i", "part.type", "part.canon")
     table = assign(each, key)
     joined = each.join(table, ["type", "canon"]).groupBy("value", "kind").agg(F.array_sort(F.collect_list(F.struct("i", "surrogate"))).alias("parts"))
     texts = F.transform("parts", lambda p: p["surrogate"])
     honorific = F.regexp_extract("value", r"^\S+\s", 0)
     plain = F.regexp_replace(F.get(texts, F.lit(0)), r"[^\p{L}\p{N}]", "")
-    new = F.when(F.col("kind") == "name", F.concat(honorific, F.array_join(texts, " "))).when(F.col("kind") == "ip", F.get(texts, F.lit(0))).otherwise(_formatted(F.col("value"), plain))
+    secret = F.concat(label_of(F.col("value")), _formatted(F.expr("substring(value, 1 + length(regexp_extract(value, :label, 1)))".replace(":label", _sql_text(f"^({_LABEL})"))), plain))
+    new = F.when(F.col("kind") == "secret", secret).when(F.col("kind") == "name", F.concat(honorific, F.array_join(texts, " "))).when(F.col("kind") == "ip", F.get(texts, F.lit(0))).otherwise(_formatted(F.col("value"), plain))
     return joined.select("value", new.alias("replacement"))
 
 
