@@ -18,27 +18,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import short_batches
-from .html_blocks import blocks
+from .html_blocks import HINTS, TAGS, blocks
 from .html_samples import labelled
 
-TAGS = "html body div section article main header footer nav aside form p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption a b span button label address details".split()
-HINTS, WORDS, COUNTS, HIDDEN = 128, 32, 10, 24
-_TAG = {t: i for i, t in enumerate(TAGS)}
+WORDS, COUNTS, HIDDEN = 32, 10, 24
 PATH = 2 * len(TAGS) + HINTS
 #: Pages and epochs of training; pages labelled together.
 SAMPLE_PAGES, EPOCHS, BATCH = 2_400, 6, 64
 
 
-def path_vector(path: tuple) -> np.ndarray:
+def path_vector(key: tuple[int, int, int]) -> np.ndarray:
+    """Of ``Open.key()``: the tags above, the innermost one, the hints."""
+    tags, hints, inner = key
     v = np.zeros(PATH, np.float32)
-    for name, hints in path:
-        if name in _TAG:
-            v[_TAG[name]] = 1
-        for h in hints:
-            v[2 * len(TAGS) + zlib.crc32(h.encode()) % HINTS] = 1
-    inner = next((name for name, _ in reversed(path) if name in _TAG), None)
-    if inner:
-        v[len(TAGS) + _TAG[inner]] = 1
+    v[[i for i in range(len(TAGS)) if tags >> i & 1]] = 1
+    v[[2 * len(TAGS) + i for i in range(HINTS) if hints >> i & 1]] = 1
+    if inner >= 0:
+        v[len(TAGS) + inner] = 1
     return v
 
 
@@ -62,7 +58,7 @@ class Features:
         for page in pages:
             n = len(page)
             for i, (text, path, links) in enumerate(page):
-                at.append(known.setdefault(path, len(known)))
+                at.append(known.setdefault(path.key(), len(known)))
                 words = text.split(" ")
                 rows.append([_bucket[w] for w in words])
                 size = len(text)

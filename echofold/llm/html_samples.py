@@ -50,7 +50,7 @@ def sample_page(seed: int) -> str:
         elif kind == "aside":
             inner = f"<h3>{words(1, 3)}</h3>" + r.choice(["<ul>" + "".join(f"<li>{link()}</li>" for _ in range(n)) + "</ul>", "".join(f"<p>{para(1, 2)}</p>" for _ in range(r.randint(1, 3))), f"<p>{para(1, 3)} {link()}</p>"])
         elif kind == "notice":
-            inner = r.choice([para(1, 3), f"<p>{para(1, 3)}</p>", f"<p>{para(1, 2)} {link()}</p><button>{words(1, 2)}</button>", f"<b>{words(1, 3)}</b> {para(1, 2)}"])
+            inner = r.choice([para(1, 3), f"<p>{para(1, 3)}</p>", f"<p>{para(1, 2)} {link()}</p><button>{words(1, 2)}</button>", f"<b>{words(1, 3)}</b> {para(1, 2)}", f"<noscript>{para(1, 2)}</noscript>"])
         elif kind == "ad":
             inner = r.choice([para(1, 3), para(1, 2), f"<p>{sentence()}</p>", f"<a href='/{word()}'>{sentence()}</a>", f"<h4>{words(2, 5)}</h4><p>{para(1, 2)}</p>"])
         elif kind == "form":

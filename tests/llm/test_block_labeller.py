@@ -65,12 +65,45 @@ def test_blocks():
     page = """<!doctype html><head><title>T</title></head><body><!-- <p>no</p> --><script>if (a<b) "</p>"</script>
     <div class="top-Bar">x &amp; y<p>one <b>two</b>&nbsp;three<br>four<p>five<ul><li>a<li>b</ul>tail<a href="#">link</a> <</div>"""
     assert [(t, n) for t, _, n in blocks(page)] == [("x & y", 0), ("one two three four", 0), ("five", 0), ("a", 0), ("b", 0), ("taillink <", 4)]
-    assert blocks(page)[0][1] == (("body", ()), ("div", ("top", "bar")))
+    assert blocks(page)[0][1].elements() == [("body", ()), ("div", ("top", "bar"))]
     for odd in (None, "", "<", "<p", "</p></div>", "<p class='x", "text only", "<!--", "<script>", "<![CDATA[x]]>", "&#0; &bogus; <p>" * 3, "<a " * 2000, "<div>" * 5000):
         blocks(odd)
     assert [t for t, _, _ in blocks("<![CDATA[x]]>")] == ["x"]
 
 
+def test_formulas_and_fallbacks_are_text():
+    page = "<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<noscript>no <b>script</b></noscript><object data=x>instead</object></p>"
+    assert [t for t, _, _ in blocks(page)] == ["so x=2 holds", "no script", "instead"]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000 + "x", "<a " * 350_000, "<p " * 100_000 + ">", "<!x" * 350_000, "<div>t" * 100_000 + "</span>" * 50_000, "<i>" * 100_000 + "<p>" * 100_000, "<a '\"" * 100_000 + ">" * 9, "<script></script" * 60_000, "<a \"'>x</a>" * 60_000])
+def test_hostile_pages_take_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    blocks(page)
+    assert time.process_time() - began < 4
+
+
+def test_forward_pass_against_a_plain_loop():
+    x = Features([labelled(5, blocks)[0], labelled(6, blocks)[0]])
+    model, at, got = BlockLabeller(3), 0, BlockLabeller(3).probabilities(x)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for length in x.lengths:
+        rows = [np.concatenate([x.paths[x.path_of[i]], x.words[i], x.counts[i]]) for i in range(at, at + length)]
+        seen = {}
+        for d, order in (("f", range(length)), ("b", range(length - 1, -1, -1))):
+            h = c = np.zeros(24)
+            for i in order:
+                z = rows[i] @ model.p["W" + d] + h @ model.p["U" + d] + model.p["c" + d]
+                c = sigmoid(z[24:48]) * c + sigmoid(z[:24]) * np.tanh(z[72:])
+                h = sigmoid(z[48:72]) * np.tanh(c)
+                seen[d, i] = h
+        for i in range(length):
+            assert got[at + i] == pytest.approx(sigmoid(float(np.concatenate([seen["f", i], seen["b", i]]) @ model.p["V"][:, 0] + model.p["v"][0])), abs=1e-4)
+        at += length
+
+
 def test_nulls_repeats_long_pages_and_clashing_columns(spark):
     long = "<article><h1>Ta re on</h1>" + "<p>Ta re on ili ver mu chen so la ent.</p>" * 6000 + "</article>"
     df = spark.createDataFrame([(1, None, None, "q"), (None, "u", "", "q"), (2, "u", long, "q"), (2, "u", long, "q")], "page_id long, url string, html string, text string")
