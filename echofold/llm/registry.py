@@ -30,7 +30,8 @@ ORACLE_SQL: dict[str, str] = {}
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_mix import mix_sources
 
-    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs, with_text=False).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 QUERIES["op10_source_mix"] = op10_source_mix
@@ -102,7 +103,8 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .surrogates import replace_personal_data
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return replace_personal_data(docs, key="surrogates of this corpus", count_col="n_mentions")
+    key = spark.conf.get("spark.echofold.surrogates.key", "surrogates of this corpus")
+    return replace_personal_data(docs, key=key, count_col="n_mentions")
 
 
 QUERIES["op6_surrogates"] = op6_surrogates

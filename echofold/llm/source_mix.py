@@ -1,14 +1,15 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal blocks of words.
 
 Each source's target is its share of all words by weight, at most ``cap`` times its own
-size; what is above goes to the others by weight. Rows are dealt over shards by a hash. In
-each shard, blocks of equal length are given to the sources one by one, each to the highest
-quotient target / (2 * blocks so far + 1): integer quotas per shard and source, in proportion
-to the targets. A source's rows in a shard, in seeded order, form one line of blocks, and its
-quota is taken from the start of that line, around again as often as it is longer.
-
-Shards are small whatever a source's size, so a source with a third of all rows is spread
-over all of them; a quota needs the sizes of its own shard only.
+size; what is above goes to the others by weight. A source's rows are dealt by a hash over as
+many shards as their number asks for: a source with a third of all rows over a third of the
+shards, a rare one over a single shard, where its share is many blocks. In each shard, blocks
+of equal length are given to the sources one by one, each to the highest quotient target /
+(2 * blocks so far + 1): integer quotas per shard and source, in proportion to the targets.
+A source's rows in a shard are taken whole, as often as the quota is a multiple of their
+words; what remains of the quota goes to rows in seeded order, each if it fits.
+
+A shard holds about ``shard_rows`` rows of ids and sizes, without texts.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import stash
 
@@ -35,16 +35,15 @@ def targets(sizes: dict, weights=WEIGHTS, cap: float = 3.0) -> dict:
     """
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(order)}
-    out, rest, left = {}, [s for s in order if sizes[s] > 0], float(sum(sizes.values()))
-    out |= {s: 0.0 for s in order if sizes[s] <= 0}
-    while rest:
-        total = sum(weight[s] for s in rest)
-        over = [s for s in rest if left * weight[s] / total > cap * sizes[s]]
-        if not over:
-            return out | {s: left * weight[s] / total for s in rest}
-        out |= {s: cap * float(sizes[s]) for s in over}
-        left -= sum(out[s] for s in over)
-        rest = [s for s in rest if s not in over]
+    out = {s: 0.0 for s in order}
+    # the least size for its weight is the first above, and each excess only brings others closer to it
+    rest = sorted((s for s in order if sizes[s] > 0), key=lambda s: sizes[s] / weight[s])
+    left, total = float(sum(sizes.values())), sum(weight[s] for s in rest)
+    for i, s in enumerate(rest):
+        if left * weight[s] / total <= cap * sizes[s]:
+            return out | {x: left * weight[x] / total for x in rest[i:]}
+        out[s] = cap * float(sizes[s])
+        left, total = left - out[s], total - weight[s]
     return out
 
 
@@ -77,80 +76,84 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _quotas(block: int, cap: float):
-    def run(cells: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values(["is_null", "source"], kind="stable")
-        share = cells["share"].to_numpy(float)
-        most = np.ceil(cap * cells["cell_size"].to_numpy(float) / block)
-        seats = sainte_lague(share, round(share.sum() / block), most)
-        cells["quota"] = np.minimum(seats * block, np.floor(cap * cells["cell_size"].to_numpy(float)).astype(np.int64)).astype(np.int64)
-        return cells[["shard", "is_null", "source", "cell_size", "source_size", "target", "quota"]]
+def _picks(block: int, cap: float, whole: bool):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["is_null", "source", "place", "id", "row"], kind="stable").reset_index(drop=True)
+        cell = rows.groupby(["is_null", "source"], sort=False).ngroup().to_numpy()
+        size = rows["size"].to_numpy(np.int64)
+        total = np.bincount(cell, size).astype(np.int64)
+        share = np.bincount(cell, size * rows["rate"].to_numpy(float))
+        most = np.floor(cap * total).astype(np.int64)
+        quota = np.minimum(sainte_lague(share, round(share.sum() / block), -(-most // block)) * block, most)
+        laps = np.where(total > 0, quota // np.maximum(total, 1), 0)
+        left = (quota - laps * total).tolist()
+        taken = laps[cell] * size
+        open_: dict[int, int] = {}  # the smallest row of a cell that did not fit
+        for i, (c, n) in enumerate(zip(cell.tolist(), size.tolist(), strict=True)):
+            if n <= left[c]:
+                taken[i] += n
+                left[c] -= n
+            elif c not in open_ or n < size[open_[c]]:
+                open_[c] = i
+        for c, i in open_.items():
+            n = int(size[i])
+            taken[i] += (n if 2 * left[c] > n else 0) if whole else left[c]
+        return pd.DataFrame({"row": rows["row"], "taken": taken})
 
     return run
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = 3.0, block: int = 16, shard_rows: int = 1_024, seed: int = 11) -> DataFrame:
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = 3.0, block: int = 16, shard_rows: int = 1_024, seed: int = 11, whole: bool = False, with_text: bool = True) -> DataFrame:
     """``docs`` with size, source_size, target and taken (words the mix takes, repeats counted).
 
-    Sizes are counted over all rows. Only the list of sources with their sizes goes to the
-    driver: it has as many rows as the mix has sources, each with a weight of its own. A
+    Sizes are counted over all rows, once. Only the list of sources with their sizes goes to
+    the driver: it has as many rows as the mix has sources, each with a weight of its own. A
     null text has size 0 and null is a source of its own. No row is taken more than ``cap``
-    times. Which words are taken depends on ids, texts and ``seed`` only, so reruns agree;
-    rows with equal id and text are told apart by nothing else and share one place in the
-    order. An empty table gives none. Columns named like the new ones are replaced.
+    times. The last words of a quota are the start of a row that does not fit as a whole;
+    with ``whole``, that row is taken whole or not, whichever is nearer. What is taken depends
+    on ids, texts, sources and ``seed`` only, so reruns agree; of rows with equal id, text and
+    source any may be the one that is taken more often. An empty table gives none. Columns
+    named like the new ones are replaced; without ``with_text``, the text is left out.
     """
     spark = docs.sparkSession
-    new = ("size", "source_size", "target", "taken")
-    base = docs.drop(*(c for c in new if c in docs.columns and c not in (id_col, text_col, source_col)))
-    key = lambda df, n: df.select(
-        "*",
-        n_words(F.col(text_col).cast("string")).alias("__size"),
-        F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("__place"),
-        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed + 1)), F.lit(n).cast("long")).alias("shard"),
-        F.col(source_col).isNull().alias("is_null"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source_key"),
+    old = docs.select(*(F.col(c) for c in docs.columns if c in (id_col, text_col, source_col) or c not in NEW))
+    columns = [c for c in old.columns if with_text or c != text_col]
+    text, source = F.col(text_col).cast("string"), F.col(source_col)
+    rows = stash(
+        old.select(
+            F.struct(*(old[c] for c in columns)).alias("old"),
+            n_words(text).alias("size"),
+            F.col(id_col).cast("string").alias("id"),
+            F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("place"),
+            source.isNull().alias("is_null"),
+            F.coalesce(source.cast("string"), F.lit("")).alias("source"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
+        "sizes",
     )
-    shards = max(1, ceil(docs.count() / shard_rows))
-    cells = stash(key(base.select(id_col, text_col, source_col), shards).groupBy("shard", "is_null", F.col("source_key").alias("source")).agg(F.sum("__size").alias("cell_size")), "cells")
-    sizes = {(None if r["is_null"] else r["source"]): r["s"] for r in cells.groupBy("is_null", "source").agg(F.sum("cell_size").alias("s")).collect()}
+    found = rows.groupBy("is_null", "source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    sizes = {(None if r["is_null"] else r["source"]): r["s"] for r in found}
     goal = targets(sizes, weights, cap)
-    table = spark.createDataFrame([(s is None, s or "", int(sizes[s]), float(goal[s])) for s in sizes], "is_null boolean, source string, source_size long, target double")
-    share = F.when(F.col("source_size") > 0, F.col("target") * F.col("cell_size") / F.col("source_size")).otherwise(F.lit(0.0))
-    quotas = (
-        cells.join(table, ["is_null", "source"])
-        .withColumn("share", share)
-        .groupBy("shard")
-        .applyInPandas(_quotas(block, cap), "shard long, is_null boolean, source string, cell_size long, source_size long, target double, quota long")
-    )
-    line = Window.partitionBy("shard", "is_null", "source_key").orderBy("__place", F.col(id_col))
-    before = F.sum("__size").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    placed = key(base, shards).withColumn("__before", F.coalesce(before, F.lit(0)))
-    q = quotas.select(F.col("shard").alias("q_shard"), F.col("is_null").alias("q_null"), F.col("source").alias("q_source"), F.col("cell_size").alias("q_size"), F.col("source_size").alias("q_source_size"), F.col("target").alias("q_target"), "quota")
-    out = placed.join(q, (F.col("shard") == F.col("q_shard")) & (F.col("is_null") == F.col("q_null")) & (F.col("source_key") == F.col("q_source")))
-    whole = F.when(F.col("q_size") > 0, F.expr("quota div q_size")).otherwise(F.lit(0))
-    rest = F.col("quota") - whole * F.col("q_size")
-    taken = whole * F.col("__size") + F.least(F.greatest(rest - F.col("__before"), F.lit(0)), F.col("__size"))
-    return out.select(*[base[c] for c in base.columns], F.col("__size").alias("size"), F.col("q_source_size").alias("source_size"), F.col("q_target").alias("target"), taken.cast("long").alias("taken"))
-
-
-def take_mix(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a row for each time a text is taken.
-
-    Where the last block of a source in a shard ends within a text, that row holds the text
-    up to the end of its last taken word, and ``length_col`` (where there is one) its length.
+    shards = max(1, ceil(sum(r["n"] for r in found) / shard_rows))
+    table = [(r["is_null"], r["source"], r["s"], float(goal[None if r["is_null"] else r["source"]]), ceil(r["n"] / shard_rows)) for r in found]
+    known = F.broadcast(spark.createDataFrame(table, "is_null boolean, source string, source_size long, target double, parts int"))
+    part = F.pmod(F.xxhash64("place", F.lit(seed)), F.col("parts").cast("long"))
+    slim = rows.select("row", "size", "id", "place", "is_null", "source").join(known, ["is_null", "source"])
+    dealt = slim.select("row", "size", "id", "place", "is_null", "source", (F.col("target") / F.greatest("source_size", F.lit(1))).alias("rate"), F.pmod(part + F.pmod(F.xxhash64("is_null", "source"), F.lit(shards)), F.lit(shards)).alias("shard"))
+    picks = dealt.groupBy("shard").applyInPandas(_picks(block, cap, whole), "row long, taken long")
+    out = rows.join(picks.hint("merge"), "row").join(known, ["is_null", "source"])
+    return out.select("old.*", "size", "source_size", "target", "taken")
+
+
+#: Columns that ``mix_sources`` adds.
+NEW = ("size", "source_size", "target", "taken")
+
+
+def take_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row, whole, for each time it is taken.
+
+    A row of no words is never taken.
     """
-    mixed = mix_sources(docs.withColumn("__text", F.col(text_col)), text_col=text_col, **options).where("taken > 0")
-    full = mixed.withColumn("__copy", F.explode(F.expr("sequence(0, CAST((taken - 1) div size AS INT))")))
-    words = F.least(F.col("size"), F.col("taken") - F.col("__copy") * F.col("size"))
-    # the regular expression's repeat count is limited, so the prefix is built from the words' own ends
-    part = F.when(words == F.col("size"), F.col("__text")).otherwise(prefix_of_words(F.col("__text"), words))
-    out = full.withColumn(text_col, part)
-    if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(words == F.col("size"), F.col(length_col)).otherwise(F.char_length(text_col)).cast(docs.schema[length_col].dataType))
-    return out.select(*docs.columns)
-
-
-def prefix_of_words(text: Column, words: Column) -> Column:
-    """``text`` up to the end of its first ``words`` words."""
-    gaps = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    return F.concat_ws("", F.slice(gaps, F.lit(1), words.cast("int")))
+    packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.struct(*(docs[c] for c in docs.columns)).alias("packed"))
+    mixed = mix_sources(packed, id_col="id", text_col="text", source_col="source", whole=True, with_text=False, **options)
+    return mixed.where("taken > 0").select("packed", F.explode(F.expr("sequence(1, CAST(taken div size AS INT))"))).select("packed.*")

@@ -53,16 +53,78 @@ def test_mix_comes_near_its_targets(spark):
     assert sorted(map(tuple, mix_sources(df.repartition(7), shard_rows=300).collect())) == sorted(map(tuple, got))
 
 
+def taken_by_brute_force(rows, shard_rows, seed, hashes, whole, block=16, cap=3):
+    """Row by row as the docstring says; ``hashes`` has each row's place, part hash and source hash."""
+    size = [len(WORDS.findall(t or "")) for _, t, _ in rows]
+    total, n = defaultdict(int), defaultdict(int)
+    for k, (_, _, s) in enumerate(rows):
+        total[s] += size[k]
+        n[s] += 1
+    goal, shards = targets(dict(total)), max(1, -(-len(rows) // shard_rows))
+    cells = defaultdict(list)
+    for k, (i, _, s) in enumerate(rows):
+        place, part, of_source = hashes[k]
+        cells[(part % -(-n[s] // shard_rows) + of_source % shards) % shards, s].append((place, str(i), k))
+    taken = [0] * len(rows)
+    for shard in range(shards):
+        own = sorted((s for h, s in cells if h == shard), key=lambda s: (s is None, s or ""))
+        words = [sum(size[k] for *_, k in cells[shard, s]) for s in own]
+        share = [sum(size[k] * (goal[s] / max(total[s], 1)) for *_, k in cells[shard, s]) for s in own]
+        got = [0] * len(own)
+        for _ in range(round(sum(share) / block)):
+            q = [x / (2 * g + 1) if x > 0 and g < -(-cap * w // block) else -1 for x, g, w in zip(share, got, words, strict=True)]
+            if max(q) >= 0:
+                got[q.index(max(q))] += 1
+        for s, w, g in zip(own, words, got, strict=True):
+            quota, first = min(g * block, cap * w), None
+            laps, left = divmod(quota, w) if w else (0, 0)
+            for *_, k in sorted(cells[shard, s]):
+                taken[k] += laps * size[k]
+                if size[k] <= left:
+                    taken[k] += size[k]
+                    left -= size[k]
+                elif first is None or size[k] < size[first]:
+                    first = k
+            if first is not None:
+                taken[first] += left if not whole else size[first] if 2 * left > size[first] else 0
+    return taken
+
+
+def test_taken_words_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rows = rows_of(700)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    place = F.xxhash64("doc_id", "text", F.lit(11))
+    source = F.coalesce("source", F.lit(""))
+    hashed = {r.doc_id: (r.place, r.part, r.of) for r in df.select("doc_id", place.alias("place"), F.xxhash64(place, F.lit(11)).alias("part"), F.xxhash64(F.col("source").isNull(), source).alias("of")).collect()}
+    for whole in (False, True):
+        got = {r.doc_id: r.taken for r in mix_sources(df, shard_rows=100, whole=whole).collect()}
+        assert [got[i] for i, _, _ in rows] == taken_by_brute_force(rows, 100, 11, [hashed[i] for i, _, _ in rows], whole)
+
+
 def test_the_mix_itself(spark):
     rows = rows_of(600)
-    df = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, source string, n_chars long")
-    plan = {r.doc_id: r for r in mix_sources(df).collect()}
+    df = spark.createDataFrame([(*r, i, -1) for i, r in enumerate(rows)], "doc_id long, text string, source string, size int, taken int")
+    plan = {r.doc_id: r.taken // max(1, len(WORDS.findall(rows[r.doc_id][1]))) for r in mix_sources(df, whole=True).collect()}
     out = take_mix(df)
-    words = defaultdict(int)
+    found = defaultdict(int)
     for r in out.collect():
-        words[r.doc_id] += len(WORDS.findall(r.text))
-        assert plan[r.doc_id] is not None and r.n_chars == len(r.text) and rows[r.doc_id][1].startswith(r.text)
-    assert out.columns == df.columns and words == {i: p.taken for i, p in plan.items() if p.taken}
+        found[r.doc_id] += 1
+        assert (r.text, r.source) == rows[r.doc_id][1:] and (r.size, r.taken) == (r.doc_id, -1)
+    assert out.columns == df.columns and found == {i: n for i, n in plan.items() if n}
+
+
+def test_a_rare_source_gets_its_share(spark):
+    rows = [(i, "one two three four five", "big") for i in range(4000)] + [(9000 + i, "a b", "rare") for i in range(40)]
+    df = spark.createDataFrame([(*r, "s", True, "k", 1, 2) for r in rows], "doc_id long, text string, source string, shard string, is_null boolean, source_key string, __size int, __place int")
+    got = mix_sources(df, shard_rows=100)
+    sums: dict = defaultdict(int)
+    for r in got.collect():
+        sums[r.source] += r.taken
+        assert r.shard == "s" and r["__size"] == 1
+    goal = targets({"big": 20_000, "rare": 80})
+    assert abs(sums["rare"] - goal["rare"]) <= 16 and abs(sums["big"] - goal["big"]) <= 0.01 * goal["big"]
 
 
 def test_nulls_repeats_and_empty(spark):
