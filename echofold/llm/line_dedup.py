@@ -230,30 +230,35 @@ def _by_shards(docs, index, n_shards, text_col, min_chars, min_docs) -> DataFram
         return asked.select(["text_id", "h1", "h2"])
 
     text_id = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    named = docs.withColumn("__text_id", text_id)
-    texts = named.select(F.col("__text_id").alias("text_id"), F.col(text_col).cast("string").alias(text_col)).groupBy("text_id").agg(F.first(text_col).alias(text_col))
+    # rows travel packed, so that no column of theirs meets one made here
+    named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), text_id.alias("own_id"), F.col(text_col).cast("string").alias("text"))
+    texts = named.groupBy(F.col("own_id").alias("text_id")).agg(F.first("text").alias(text_col))
     asked = texts.mapInArrow(hashes, "text_id binary, h1 long, h2 long").withColumn("shard", F.pmod("h1", F.lit(n_shards).cast("long"))).withColumn("part", F.pmod(F.xxhash64("text_id"), F.lit(parts).cast("long")))
     shards = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     hits = asked.groupBy("shard", "part").cogroup(shards.groupBy("shard", "part")).applyInArrow(hit, "text_id binary, h1 long, h2 long")
-    gone = stash(hits.groupBy("text_id").agg(F.collect_list(F.struct("h1", "h2")).alias("__gone")), "line-hits")
-    joined = named.join(gone, named["__text_id"] == gone["text_id"], "left").drop("text_id", "__text_id")
+    gone = stash(hits.groupBy("text_id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone")), "line-hits")
+    joined = named.join(gone.hint("merge"), F.col("own_id") == F.col("text_id"), "left").select("row", "gone", "text")
 
     def probe_of():
         def probe(b, keys):
-            gone = {(x["h1"], x["h2"]) for own in b["__gone"].to_pylist() for x in own or ()}
+            gone = {(x["h1"], x["h2"]) for own in b["gone"].to_pylist() for x in own or ()}
             return {k for own in keys for k in own if key_hash(k) in gone} if gone else set()
 
         return probe
 
-    return _filtered(joined, text_col, min_chars, min_docs, probe_of).drop("__gone")
+    out = _filtered(joined, "text", min_chars, min_docs, probe_of)
+    return out.select("row.*", "kept_text", "n_lines", "n_dropped")
 
 
 def without_common_lines(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
     """``docs``, with its columns, their texts without common lines and ``length_col`` their new length; every row stays."""
-    out = drop_common_lines(docs, text_col=text_col, **options).withColumn(text_col, F.col("kept_text"))
+    others = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(*(docs[c] for c in others), F.lit(0).alias("none")).alias("packed"), docs[text_col].alias("text"))
+    out = drop_common_lines(packed, text_col="text", **options)
+    columns = {c: F.col("kept_text") if c == text_col else F.col("packed").getField(c) for c in docs.columns}
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
-    return out.select(*docs.columns)
+        columns[length_col] = F.char_length("kept_text").cast(docs.schema[length_col].dataType)
+    return out.select(*(v.alias(k) for k, v in columns.items()))
 
 
 def line_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

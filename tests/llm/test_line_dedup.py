@@ -58,3 +58,12 @@ def test_empty_tables_and_columns(spark):
     df = spark.createDataFrame([(i, "a\nb" + str(i), 99) for i in range(10)], "doc_id long, text string, n_chars int")
     out = without_common_lines(df)
     assert out.dtypes == df.dtypes and {(r.text, r.n_chars) for r in out.collect()} == {(f"b{i}", 2) for i in range(10)}
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}])
+def test_clashing_columns_on_either_path(spark, options):
+    df = spark.createDataFrame([(i, "a\nb" + str(i), 7, "t", "g", "r", "o") for i in range(12)], "doc_id long, text string, n_lines int, text_id string, gone string, row string, own_id string")
+    got = drop_common_lines(df, **options).collect()
+    assert {(r.kept_text, r.n_lines, r.n_dropped, r.text_id, r.gone, r.row, r.own_id) for r in got} == {(f"b{i}", 2, 1, "t", "g", "r", "o") for i in range(12)}
+    kept = without_common_lines(df, **options)
+    assert kept.columns == df.columns and {(r.text, r.n_lines) for r in kept.collect()} == {(f"b{i}", 7) for i in range(12)}
