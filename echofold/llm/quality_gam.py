@@ -232,6 +232,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are not predicted 0, with their columns."""
-    scored = add_scores(docs, train(docs, labels, **options), out_col="__score")
-    return scored.where(F.col("__score") >= THRESHOLD).drop("__score")
+    """The rows of ``docs`` that are not predicted 0, with their columns, whatever these are called."""
+    out_col = "score"
+    while out_col in docs.columns:
+        out_col += "_"
+    scored = add_scores(docs, train(docs, labels, **options), out_col=out_col)
+    return scored.where(F.col(out_col) >= THRESHOLD).drop(out_col)

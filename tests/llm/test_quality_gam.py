@@ -33,6 +33,18 @@ def test_tables_and_pairs_learn_an_interaction():
     assert (model.score(x) == again.score(x)).all()
 
 
+def test_scores_are_sums_of_table_entries():
+    r = np.random.default_rng(3)
+    x = np.round(r.random((1500, 4)), 2)
+    model = fit(x, ((x[:, 0] + x[:, 1] * x[:, 2] + 0.2 * r.random(1500)) > 0.9).astype(float), n_pairs=3, rounds=20)
+    bin_of = lambda cuts, v: sum(c <= v for c in cuts)
+    assert len(model.pairs) == 3
+    for row in [*x[:60], np.array([-9.0, 9.0, 0.5, 0.5])]:
+        odds = model.base + sum(t[bin_of(c, v)] for t, c, v in zip(model.tables, model.cuts, row, strict=True))
+        odds += sum(t[bin_of(cj, row[j]), bin_of(ck, row[k])] for j, k, cj, ck, t in model.pairs)
+        assert abs(model.score(row[None, :])[0] - 1 / (1 + np.exp(-odds))) < 1e-12
+
+
 def test_without_both_labels():
     x = np.zeros((3, 2))
     assert fit(x[:0], np.zeros(0)).score(x).tolist() == [0.5] * 3
