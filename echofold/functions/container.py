@@ -9,8 +9,9 @@ of another writer of this format to exchange containers with it.
 from __future__ import annotations
 
 import struct
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 
@@ -98,7 +99,7 @@ def encode(payload: bytes, matches: list[Match], cfg: MatchConfig, marks: Marks
     owned: dict[int, list[Match]] = {}
     for m in sorted(matches):
         owned.setdefault(m[0] // cfg.block_size, []).append(m)
-    starts = {m[1]: m for m in matches}
+    starts = [m[1] for m in matches]
     for k, (lo, hi) in enumerate(_block_of(n, cfg.block_size)):
         gaps = _gaps(matches, lo, hi)
         if cfg.layout == "future":
@@ -107,10 +108,10 @@ def encode(payload: bytes, matches: list[Match], cfg: MatchConfig, marks: Marks
             for src, dst, size in mine:
                 out += put_varint(src - lo) + put_varint(dst - src) + put_varint(size)
         if cfg.layout == "io":
-            begun = [(d, None) for d in starts if lo <= d < hi]
-            for at, end in sorted([*gaps, *begun], key=lambda x: x[0]):
-                if end is None:
-                    src, dst, size = starts[at]
+            begun = range(bisect_left(starts, lo), bisect_left(starts, hi))
+            for at, end, i in sorted([*((a, e, -1) for a, e in gaps), *((starts[i], 0, i) for i in begun)]):
+                if i >= 0:
+                    src, dst, size = matches[i]
                     out += b"\1" + put_varint(dst - src) + put_varint(size)
                 else:
                     out += b"\0" + put_varint(end - at) + payload[at:end]
@@ -260,7 +261,7 @@ def decode(data: bytes, marks: Marks = Marks(), output_limit: int = MOST_POSITIO
     except MemoryError as e:
         raise EngineError("MemoryBudgetExceeded", str(n)) from e
     matches: list[Match] = list(known or [])
-    pending: list[Match] = []  # of future, not yet begun, in destination order
+    pending: list[Match] = []  # of future, not yet begun: a heap of (dst, src, -len)
     carried: Match | None = None
     k = 0
     for lo, hi in _block_of(n, cfg.block_size):
@@ -270,9 +271,8 @@ def decode(data: bytes, marks: Marks = Marks(), output_limit: int = MOST_POSITIO
                 offset, distance, size = r.varint(), r.varint(), r.varint()
                 if offset >= hi - lo or distance == 0:
                     raise EngineError("InvalidMatch", "register")
-                pending.append((lo + offset, lo + offset + distance, size))
-                check_matches(pending[-1:], n, cfg)
-            pending.sort(key=lambda m: (m[1], m[0], -m[2]))
+                check_matches([(lo + offset, lo + offset + distance, size)], n, cfg)
+                heappush(pending, (lo + offset + distance, lo + offset, -size))
         while at < hi:
             if carried is None:
                 if cfg.layout == "io":
@@ -293,9 +293,10 @@ def decode(data: bytes, marks: Marks = Marks(), output_limit: int = MOST_POSITIO
                     else:
                         raise EngineError("CorruptRecord", "operation")
                 else:
-                    queue = matches if cfg.layout == "index" else pending
-                    i = k if cfg.layout == "index" else 0
-                    start = queue[i][1] if i < len(queue) else n
+                    if cfg.layout == "index":
+                        start = matches[k][1] if k < len(matches) else n
+                    else:
+                        start = pending[0][0] if pending else n
                     if start < at:
                         raise EngineError("InvalidMatch", "matches overlap")
                     if start > at:
@@ -303,11 +304,13 @@ def decode(data: bytes, marks: Marks = Marks(), output_limit: int = MOST_POSITIO
                         history[at : at + size] = np.frombuffer(r.take(size), np.uint8)
                         at += size
                         continue
-                    carried = queue[i]
                     if cfg.layout == "index":
+                        carried = matches[k]
                         k += 1
                     else:
-                        matches.append(pending.pop(0))
+                        dst, src, size = heappop(pending)
+                        carried = (src, dst, -size)
+                        matches.append(carried)
             literal = False
             src, dst, size = carried
             take = min(dst + size, hi) - at

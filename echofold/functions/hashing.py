@@ -85,48 +85,43 @@ def _crc_table() -> list[int]:
     return out
 
 
-@lru_cache(64)
-def _crc_shift(n: int) -> tuple[int, ...]:
-    """The CRC register after ``n`` zero bytes, for each single bit that it may hold."""
-    if n == 1:
-        t = _crc_table()
-        return tuple(t[v & 255] ^ (v >> 8) for v in (1 << i for i in range(32)))
-    half = _crc_shift(n // 2)
-    twice = tuple(_apply(half, v) for v in half)
-    return tuple(_apply(_crc_shift(1), v) for v in twice) if n % 2 else twice
-
-
-def _apply(columns: tuple[int, ...], v: int) -> int:
-    out = 0
-    for i, c in enumerate(columns):
-        if v >> i & 1:
-            out ^= c
+#: Bytes whose CRC is made by one lookup each.
+_PIECE = 1024
+
+
+@lru_cache(1)
+def _crc_places() -> np.ndarray:
+    """[k, byte]: the register that ``byte`` leaves with ``_PIECE - 1 - k`` zero bytes behind it."""
+    table = np.array(_crc_table(), np.uint32)
+    out = np.empty((_PIECE, 256), np.uint32)
+    out[-1] = table
+    for k in range(_PIECE - 2, -1, -1):
+        out[k] = table[out[k + 1] & np.uint32(255)] ^ (out[k + 1] >> np.uint32(8))
     return out
 
 
 def crc32c(data: bytes) -> int:
-    """CRC-32C; long data in parallel lanes whose registers are joined at the end."""
-    n = len(data)
-    table = np.array(_crc_table(), np.uint32)
-    lanes = min(4096, n // 64)
-    if lanes < 2:
+    """CRC-32C. It is linear: each byte's part depends on its place only, so the parts of a piece are looked up at once."""
+    if len(data) < 4:
         crc, t = 0xFFFFFFFF, _crc_table()
-        for b in data:
+        for b in bytes(data):
             crc = t[(crc ^ b) & 255] ^ (crc >> 8)
         return crc ^ 0xFFFFFFFF
-    width = n // lanes
-    rows = np.frombuffer(data, np.uint8, width * lanes).reshape(lanes, width)
-    reg = np.zeros(lanes, np.uint32)
-    reg[0] = 0xFFFFFFFF
-    for k in range(width):
-        reg = table[(reg ^ rows[:, k]) & np.uint32(255)] ^ (reg >> np.uint32(8))
-    shift = _crc_shift(width)
-    crc = 0
-    for r in reg.tolist():
-        crc = _apply(shift, crc) ^ r
-    t = _crc_table()
-    for b in data[width * lanes :]:
-        crc = t[(crc ^ b) & 255] ^ (crc >> 8)
+    places, crc = _crc_places(), 0
+    head = np.frombuffer(data, np.uint8, len(data) % _PIECE or _PIECE).copy()
+    flip = min(4, len(head))
+    head[:flip] ^= 255  # the register's first value, as if it stood in the first four bytes
+    rest = np.frombuffer(data, np.uint8)[len(head) :]
+    if flip < 4:
+        rest = rest.copy()
+        rest[: 4 - flip] ^= 255
+    crc = int(np.bitwise_xor.reduce(places[np.arange(_PIECE - len(head), _PIECE), head]))
+    step = np.arange(_PIECE)
+    first = [places[i].tolist() for i in range(4)] if len(rest) else []
+    for at in range(0, len(rest), 256 * _PIECE):
+        rows = rest[at : at + 256 * _PIECE].reshape(-1, _PIECE)
+        for own in np.bitwise_xor.reduce(places[step, rows], axis=1).tolist():
+            crc = first[0][crc & 255] ^ first[1][crc >> 8 & 255] ^ first[2][crc >> 16 & 255] ^ first[3][crc >> 24] ^ own
     return crc ^ 0xFFFFFFFF
 
 

@@ -9,6 +9,7 @@ equal the position a distance behind: each such run is found once, from its firs
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -104,17 +105,29 @@ def chunks(payload: bytes, cfg: MatchConfig) -> list[tuple[int, int, int]]:
 
 @dataclass
 class Found:
-    """Distinct candidates, and how many (seed, target) events gave them."""
+    """Distinct candidates, and how many (seed, target) events gave them.
+
+    Where only the best were asked for, those of a smaller source stand for all of a
+    destination and length, and ``distinct`` still counts all.
+    """
 
     src: np.ndarray
     dst: np.ndarray
     length: np.ndarray
     raw: int
+    distinct: int
 
     @classmethod
     def of(cls, parts: list[np.ndarray], raw: int) -> Found:
         rows = np.unique(np.concatenate(parts), axis=0) if parts else np.zeros((0, 3), np.int64)
-        return cls(rows[:, 0], rows[:, 1], rows[:, 2], raw)
+        return cls(rows[:, 0], rows[:, 1], rows[:, 2], raw, len(rows))
+
+    def best(self) -> Found:
+        """Of each destination and length the smallest source."""
+        order = np.lexsort((self.src, self.length, self.dst))
+        d, n = self.dst[order], self.length[order]
+        keep = order[np.concatenate([[True], (d[1:] != d[:-1]) | (n[1:] != n[:-1])])] if len(d) else order
+        return Found(self.src[keep], self.dst[keep], self.length[keep], self.raw, self.distinct)
 
 
 def _heads(p: PrefixHash, seeds: np.ndarray, visible: np.ndarray, h: np.ndarray, seed: int, cap: int):
@@ -180,18 +193,32 @@ def _runs(s: np.ndarray, p: PrefixHash, seed: int, at: np.ndarray, visible: np.n
     return out
 
 
-def _quanta(s: np.ndarray, p: PrefixHash, seed: int, at: np.ndarray, h: np.ndarray, least: int, cap: int) -> Found:
-    """From each seed on, as many whole seeds as its run holds: a family for each run, all ending in its last seed."""
+def _quanta(s: np.ndarray, p: PrefixHash, seed: int, at: np.ndarray, h: np.ndarray, least: int, cap: int, best: bool) -> Found:
+    """From each seed on, as many whole seeds as its run holds: a family for each run, all ending in its last seed.
+
+    With ``best``, families are written out a bounded number of rows at a time, and of each
+    destination and length the smallest source is kept, so memory follows these and not the
+    families.
+    """
     runs = _runs(s, p, seed, at, np.zeros(len(at), np.int64), h, seed, cap)
     lo = -(-runs.src // seed)
     few = -(-least // seed)
     tail = runs.src + runs.length - lo * seed
     count = np.maximum(tail // seed - few + 1, 0)
-    which = np.repeat(np.arange(len(lo)), count)
-    k = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    src = (lo[which] + k) * seed
-    size = (tail[which] - k * seed) // seed * seed
-    return Found(src, src + (runs.dst - runs.src)[which], size, len(src))
+    total, ends = int(count.sum()), np.cumsum(count)
+    kept, begin = Found.of([], 0), 0
+    while begin < len(lo):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, "right"))) if best else len(lo)
+        own = np.arange(begin, end)
+        which = np.repeat(own, count[own])
+        k = np.arange(len(which)) - np.repeat(np.cumsum(count[own]) - count[own], count[own])
+        src = (lo[which] + k) * seed
+        found = Found(src, src + (runs.dst - runs.src)[which], (tail[which] - k * seed) // seed * seed, 0, 0)
+        if best:
+            found = found.best()
+            found = Found(*(np.concatenate([getattr(x, c) for x in (kept, found)]) for c in ("src", "dst", "length")), 0, 0).best()
+        kept, begin = found, end
+    return Found(kept.src, kept.dst, kept.length, total, total)
 
 
 def _nibbles(p: PrefixHash, start: np.ndarray, seed: int) -> np.ndarray:
@@ -204,25 +231,27 @@ def _nibbles(p: PrefixHash, start: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
-def candidates(payload: bytes, cfg: MatchConfig) -> Found:
-    """The base candidates of ``cfg.method`` (without overlay)."""
+def candidates(payload: bytes, cfg: MatchConfig, best: bool = False) -> Found:
+    """The base candidates of ``cfg.method`` (without overlay); with ``best`` the smallest source of each destination and length."""
     s, cap = as_bytes(payload), cfg.distance_cap
     if cfg.method in ("m1", "m2"):
-        return _chunk_candidates(payload, cfg)
+        return _chunk_candidates(payload, cfg, best)
     if cfg.method == "m0":
-        return region_candidates(payload, cfg.min_match, cap)
+        found = region_candidates(payload, cfg.min_match, cap)
+        return found.best() if best else found
     n, seed = len(s), cfg.seed
     if n < seed:
         return Found.of([], 0)
     p = PrefixHash(s)
     h, at = p.windows(seed), grid(n, seed)
     if cfg.method == "m3":
-        return _quanta(s, p, seed, at, h, cfg.min_match, cap)
+        return _quanta(s, p, seed, at, h, cfg.min_match, cap, best)
     keys = h
     if cfg.method == "m5":
         # one key of the hash and the slices' filter, so both are looked up at once
         keys = h * np.uint64(0x9E3779B97F4A7C15) ^ _nibbles(p, np.arange(len(h), dtype=np.int64), seed)
-    return _runs(s, p, seed, at, np.zeros(len(at), np.int64), keys, cfg.min_match, cap)
+    found = _runs(s, p, seed, at, np.zeros(len(at), np.int64), keys, cfg.min_match, cap)
+    return found.best() if best else found
 
 
 def region_candidates(payload: bytes, min_match: int, cap: int) -> Found:
@@ -236,16 +265,21 @@ def region_candidates(payload: bytes, min_match: int, cap: int) -> Found:
     return _runs(s, p, region, at, visible, h, min_match, cap)
 
 
-def _chunk_candidates(payload: bytes, cfg: MatchConfig) -> Found:
-    """Every earlier chunk of equal bytes for every chunk."""
+def _chunk_candidates(payload: bytes, cfg: MatchConfig, best: bool) -> Found:
+    """Every earlier chunk of equal bytes within reach for every chunk, or, with ``best``, the first of them."""
     seen: dict[bytes, list[int]] = {}
-    rows = []
+    rows, total = [], 0
     for _, start, end in chunks(payload, cfg):
         own = payload[start:end]
-        if len(own) >= cfg.min_match:
-            rows += [(at, start, len(own)) for at in seen.get(own, ()) if not cfg.distance_cap or start - at <= cfg.distance_cap]
-        seen.setdefault(own, []).append(start)
-    return Found.of([np.array(rows, np.int64).reshape(-1, 3)], len(rows))
+        if len(own) < cfg.min_match:
+            continue
+        earlier = seen.setdefault(own, [])
+        first = bisect_left(earlier, start - cfg.distance_cap) if cfg.distance_cap else 0
+        total += len(earlier) - first
+        rows += [(at, start, len(own)) for at in earlier[first : first + 1 if best else None]]
+        earlier.append(start)
+    found = Found.of([np.array(rows, np.int64).reshape(-1, 3)], total)
+    return Found(found.src, found.dst, found.length, total, total)
 
 
 # -- selection -----------------------------------------------------------------------------
