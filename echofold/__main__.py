@@ -1,13 +1,16 @@
 """Command line: compress, decompress, info and test of files, each file a stream.
 
-    python -m echofold compress IN OUT [--method m4] [--layout index] [--checksum xxh3]
+    python -m echofold compress IN [OUT] [--method m4] [--layout index] [--checksum xxh3]
         [--block-size 8m] [--min-match N] [--seed-size N] [--target-chunk N] [--max-distance N]
         [--overlay-min-match N] [--overlay-distance N] [--force]
-    python -m echofold decompress IN OUT [--output-limit N] [--force]
+    python -m echofold decompress IN [OUT] [--output-limit N] [--force]
     python -m echofold info|test IN
+    python -m echofold --version
 
-IN and OUT are files of this machine. OUT appears only when it is complete, and replaces a
-file only with --force. The exit code is that of the error's kind.
+IN and OUT are files of this machine, or - for standard input and output. Without OUT, the
+archive of IN is IN with the suffix .echo, and a file of that suffix is read to the name
+without it. OUT appears only when it is complete, replaces a file only with --force and is
+never IN itself. The exit code is that of the error's kind.
 """
 
 from __future__ import annotations
@@ -17,28 +20,61 @@ import os
 import sys
 import tempfile
 
+from . import __version__
 from .functions.config import CHECKSUMS, LAYOUTS, MOST_POSITION, MatchConfig, Overlay, parse_size
 from .functions.errors import EngineError
 
 
+SUFFIX = ".echo"
+
+
+def _target(a: argparse.Namespace) -> str:
+    """Where the output goes; checked before anything is read."""
+    target = a.target
+    if target is None and a.source != "-":
+        target = a.source + SUFFIX if a.command == "compress" else a.source.removesuffix(SUFFIX) if a.source.endswith(SUFFIX) else None
+    if not target:
+        raise EngineError("InvalidConfiguration", "an output is needed where the input's name does not give one")
+    if target == "-" and a.force:
+        raise EngineError("InvalidConfiguration", "--force is for files")
+    if "-" not in (a.source, target) and os.path.exists(target) and os.path.exists(a.source) and os.path.samefile(a.source, target):
+        raise EngineError("OutputIo", f"{target} is the input")
+    if target != "-" and os.path.isdir(target):
+        raise EngineError("OutputIo", f"{target} is a folder")
+    if target != "-" and os.path.lexists(target) and not a.force:
+        raise EngineError("OutputIo", f"{target} exists")
+    return target
+
+
 def _publish(path: str, data: bytes, force: bool) -> None:
-    if os.path.lexists(path) and not force:
-        raise EngineError("OutputIo", f"{path} exists")
+    """Whole or not at all; without ``force`` the link fails if the name has been taken meanwhile."""
+    if path == "-":
+        sys.stdout.buffer.write(data)
+        sys.stdout.buffer.flush()
+        return
     try:
         with tempfile.NamedTemporaryFile(dir=os.path.dirname(os.path.abspath(path)), delete=False) as f:
             f.write(data)
-        os.replace(f.name, path)
+        try:
+            if force:
+                os.replace(f.name, path)
+            else:
+                os.link(f.name, path)
+        finally:
+            if os.path.lexists(f.name):
+                os.unlink(f.name)
     except OSError as e:
         raise EngineError("OutputIo", str(e)) from e
 
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="echofold", description=__doc__.splitlines()[0])
+    parser.add_argument("-V", "--version", action="version", version=f"echofold {__version__}")
     commands = parser.add_subparsers(dest="command", required=True)
     size = {"type": parse_size, "default": None}
     c = commands.add_parser("compress")
     c.add_argument("source")
-    c.add_argument("target")
+    c.add_argument("target", nargs="?")
     c.add_argument("--method", default="m3")
     c.add_argument("--layout", default="index", choices=LAYOUTS)
     c.add_argument("--checksum", default="xxh3", choices=CHECKSUMS)
@@ -48,7 +84,7 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--force", action="store_true")
     d = commands.add_parser("decompress")
     d.add_argument("source")
-    d.add_argument("target")
+    d.add_argument("target", nargs="?")
     d.add_argument("--output-limit", type=parse_size, default=MOST_POSITION)
     d.add_argument("--force", action="store_true")
     for name in ("info", "test"):
@@ -69,14 +105,18 @@ def run(arguments: list[str], spark=None) -> int:
             overlay = Overlay(*(v for v in (a.overlay_min_match, a.overlay_distance) if v)) if a.overlay_min_match else None
             cfg = MatchConfig(a.method, a.layout, a.checksum, a.block_size, a.min_match, a.seed_size, a.target_chunk, a.max_distance, overlay)
         try:
-            with open(a.source, "rb") as f:
-                data = f.read()
+            target = _target(a) if a.command in ("compress", "decompress") else ""
+            if a.source == "-":
+                data = sys.stdin.buffer.read()
+            else:
+                with open(a.source, "rb") as f:
+                    data = f.read()
         except OSError as e:
             raise EngineError("InputIo", str(e)) from e
         spark = spark or SparkSession.builder.getOrCreate()
         rows = spark.createDataFrame([(0, bytearray(data))], "id long, archive binary")
         if cfg:
-            _publish(a.target, bytes(engine.compress(streams(rows, "id", "archive"), cfg).first()["archive"]), a.force)
+            _publish(target, bytes(engine.compress(streams(rows, "id", "archive"), cfg).first()["archive"]), a.force)
             return 0
         archived = rows.withColumnRenamed("id", "stream_id")
         if a.command == "decompress":
@@ -86,7 +126,7 @@ def run(arguments: list[str], spark=None) -> int:
         if r["status"] != "ok":
             raise EngineError(r["status"], a.source)
         if a.command == "decompress":
-            _publish(a.target, bytes(r["payload"]), a.force)
+            _publish(target, bytes(r["payload"]), a.force)
         elif a.command == "info":
             print("\n".join(f"{k}: {v}" for k, v in r.asDict().items() if k != "stream_id"))
         return 0

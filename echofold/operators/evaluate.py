@@ -42,12 +42,56 @@ def population_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-def parse_profile(lines: DataFrame, col: str = "value") -> DataFrame:
-    """(event, numbers, detail) of the lines that have an event; others are left out."""
+def parse_profile(lines: DataFrame, col: str = "value", mark: str = "PROFILE") -> DataFrame:
+    """(event, numbers, ok, ok_count, detail, malformed) of the lines that begin with ``mark``; others are left out.
+
+    A line is the mark, ``event=`` and every number in order, then a detail. One that is not is
+    ``malformed``: it comes back as it is, its fields null. ``ok`` is told only by a detail
+    with a single ok=true or ok=false.
+    """
     line = F.col(col)
-    field = lambda name: F.regexp_extract(line, rf"\b{name}=(\S+)", 1)
-    number = lambda name: F.expr(f"try_cast(nullif(regexp_extract({col}, '\\\\b{name}=(\\\\d+)', 1), '') AS BIGINT)").alias(name)
-    return lines.where(line.rlike(r"\bevent=\S")).select(field("event").alias("event"), *map(number, PROFILE_NUMBERS), F.regexp_extract(line, r"\bio=\d+ (.*)$", 1).alias("detail"))
+    form = "^" + mark + r" event=(\S+)" + "".join(rf" {n}=(-?\d+)" for n in PROFILE_NUMBERS) + r"(?: (.*))?$"
+    good = line.rlike(form)
+    part = lambda i: F.when(good, F.regexp_extract(line, form, i))
+    said = F.regexp_extract_all(F.coalesce(part(10), F.lit("")), F.lit(r"(?<!\S)ok=(true|false)(?=\s|$)"), F.lit(1))
+    return lines.where(line.startswith(mark)).select(
+        part(1).alias("event"),
+        *(part(i).cast("long").alias(n) for i, n in enumerate(PROFILE_NUMBERS, 2)),
+        F.when(F.size(said) == 1, F.get(said, F.lit(0)) == "true").alias("ok"),
+        F.when(good, F.size(said)).alias("ok_count"),
+        F.nullif(part(10), F.lit("")).alias("detail"),
+        F.when(~good, line).alias("malformed"),
+    )
+
+
+#: The least mean share of the baseline's coverage that a method has to keep; a fixed value.
+LEAST_COVERAGE = 0.95
+
+
+def gates(rows: DataFrame, expected: list[str]) -> DataFrame:
+    """A row for each method of ``rows`` (method, id, new_size, old_size, new_covered, old_covered): its verdict.
+
+    The samples of a method have to be exactly ``expected``, each once, and sizes positive;
+    else the query fails, whatever the rest says. Coverage is the geometric mean of new to old,
+    at most 1 each, over samples that the baseline covers at all; sizes pass by a strict
+    majority of smaller ones.
+    """
+    known = rows.sparkSession.createDataFrame([(i,) for i in expected], "id string")
+    wanted = rows.select("method").distinct().crossJoin(F.broadcast(known)).withColumn("wanted", F.lit(1))
+    both = rows.join(wanted, ["method", "id"], "full_outer")
+    share = F.when(F.col("old_covered") > 0, F.least(F.lit(1.0), F.col("new_covered") / F.col("old_covered")))
+    n, o = F.col("new_size"), F.col("old_size")
+    out = both.groupBy("method").agg(
+        F.count_if(F.col("wanted").isNull()).alias("unexpected"), F.count_if(n.isNull()).alias("missing"), (F.count("id") - F.count_distinct("id")).alias("twice"), F.count_if((n <= 0) | (o <= 0)).alias("no_size"),
+        F.count(share).alias("positive"), geometric_mean(share).alias("coverage"), F.count_if(n < o).alias("wins"), F.count_if(n == o).alias("ties"), F.count_if(n > o).alias("losses"),
+        geometric_mean(F.greatest(F.lit(1.0), n / o)).alias("size"), F.min(share).alias("worst_coverage"), F.max(n / o).alias("worst_size"),
+    )
+    flaws = ["unexpected", "missing", "twice", "no_size"]
+    broken = F.when(F.greatest(*flaws) > 0, F.to_json(F.struct("method", *flaws))).when(F.col("positive") == 0, F.concat("method", F.lit(": nothing is covered")))
+    # raise_error sits in the value of a used column, so it can't be optimised away
+    wins = F.when(broken.isNull(), F.col("wins")).otherwise(F.raise_error(F.concat(F.lit("not the fixed population: "), broken)).cast("long"))
+    out = out.withColumn("wins", wins).withColumn("coverage_pass", F.col("coverage") >= LEAST_COVERAGE).withColumn("size_pass", F.col("wins") * 2 > F.col("wins") + F.col("ties") + F.col("losses"))
+    return out.select("method", "positive", "coverage", "worst_coverage", "wins", "ties", "losses", "size", "worst_size", "coverage_pass", "size_pass")
 
 
 def status_counts(records: DataFrame) -> DataFrame:
