@@ -15,7 +15,7 @@ def find_matches(streams: DataFrame, cfg: MatchConfig) -> DataFrame:
     A candidate of the finder has been compared byte for byte and meets the method's minimum,
     so only what it gains is still asked.
     """
-    found = select.gain_filter(candidates.find_candidates(streams, cfg))
+    found = select.gain_filter(candidates.find_candidates(streams, cfg, best=True))
     return select.best_intervals(select.representatives(found))
 
 
@@ -46,5 +46,5 @@ def inspect(archived: DataFrame, **options) -> DataFrame:
 def statistics(streams: DataFrame, cfg: MatchConfig, matches: DataFrame | None = None) -> DataFrame:
     """A row for each stream: sizes, counts and coverage, with the size of its container in ``cfg.layout``."""
     matches = find_matches(streams, cfg) if matches is None else matches
-    sizes = layouts.encoded_sizes(matches, streams, cfg).where(F.col("layout") == cfg.layout).select("stream_id", F.col("encoded_size").alias("archive_size"))
+    sizes = layouts.encoded_sizes(matches, streams, cfg, (cfg.layout,)).select("stream_id", F.col("encoded_size").alias("archive_size"))
     return select.coverage(matches, streams).join(sizes, "stream_id").select("*", F.lit(cfg.method).alias("method"), F.lit(cfg.layout).alias("layout"), F.lit(cfg.checksum).alias("checksum"))

@@ -19,28 +19,41 @@ from .scans import cdc_chunks, grid_seeds
 
 SCHEMA = "stream_id long, src long, dst long, len long, method string, phase int"
 BASE, OVERLAY, EXTERNAL = 0, 1, 255
-#: Copies of the first of each key that a join spreads a frequent key over.
-SALTS = 16
+#: Rows of a batch that is handed on, about.
+BATCH_ROWS = 1 << 16
 
 
-def find_candidates(streams: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """The distinct candidates of ``cfg.method`` (phase 0) and of its overlay (phase 1) in each stream."""
+def find_candidates(streams: DataFrame, cfg: MatchConfig, *, best: bool = False) -> DataFrame:
+    """The distinct candidates of ``cfg.method`` (phase 0) and of its overlay (phase 1) in each stream.
+
+    With ``best``, those of the smallest source for each destination and length stand for all,
+    which is what ``select.representatives`` would keep of them.
+    """
     overlay = cfg.overlay
     caps = [c for c in (cfg.distance_cap, overlay.distance if overlay else 0) if c]
+    names = ["stream_id", "src", "dst", "len", "method", "phase"]
 
-    def rows(sid: int, found: Found, method: str, phase: int) -> pa.RecordBatch:
-        n = len(found.src)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, sid), pa.int64()), *(pa.array(x, pa.int64()) for x in (found.src, found.dst, found.length)), pa.array([method] * n, pa.string()), pa.array(np.full(n, phase), pa.int32())],
-            ["stream_id", "src", "dst", "len", "method", "phase"],
-        )
+    def batch(rows: list) -> pa.RecordBatch:
+        sizes = [len(f.src) for _, f, _, _ in rows]
+        flat = [np.concatenate([getattr(f, c) for _, f, _, _ in rows]) for c in ("src", "dst", "length")]
+        each = lambda i, kind: pa.array(np.repeat(np.array([r[i] for r in rows], object if kind == pa.string() else np.int64), sizes), kind)
+        return pa.RecordBatch.from_arrays([each(0, pa.int64()), *(pa.array(x, pa.int64()) for x in flat), each(2, pa.string()), each(3, pa.int32())], names)
 
     def run(batches):
         for b in batches:
+            held, n = [], 0
             for sid, payload in zip(b["stream_id"].to_pylist(), b["payload"].to_pylist(), strict=True):
-                yield rows(sid, candidates(payload, cfg), cfg.method, BASE)
+                held.append((sid, candidates(payload, cfg, best), cfg.method, BASE))
+                n += len(held[-1][1].src)
                 if overlay:
-                    yield rows(sid, region_candidates(payload, overlay.min_match, min(caps)), "m0", OVERLAY)
+                    found = region_candidates(payload, overlay.min_match, min(caps))
+                    held.append((sid, found.best() if best else found, "m0", OVERLAY))
+                    n += len(held[-1][1].src)
+                if n > BATCH_ROWS:
+                    yield batch(held)
+                    held, n = [], 0
+            if held:
+                yield batch(held)
 
     return streams.select("stream_id", "payload").mapInArrow(run, SCHEMA)
 
@@ -50,8 +63,8 @@ def candidate_metrics(streams: DataFrame, cfg: MatchConfig) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [candidates(p, cfg) for p in b["payload"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["stream_id"], pa.array([f.raw for f in found], pa.int64()), pa.array([len(f.src) for f in found], pa.int64())], ["stream_id", "raw_events", "distinct_candidates"])
+            found = [candidates(p, cfg, best=True) for p in b["payload"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["stream_id"], pa.array([f.raw for f in found], pa.int64()), pa.array([f.distinct for f in found], pa.int64())], ["stream_id", "raw_events", "distinct_candidates"])
 
     return streams.select("stream_id", "payload").mapInArrow(run, "stream_id long, raw_events long, distinct_candidates long")
 
@@ -90,12 +103,12 @@ def _first_of_key(keyed: DataFrame) -> DataFrame:
     """Each row of (key, len, stream_id, position) but a key's first, with that first as source.
 
     A key in a third of all rows would gather in one task: its first place is an aggregate
-    that every task forms in part, copied to ``SALTS`` salts for the join back.
+    that every task forms in part, and the join back is one that Spark splits where a key's
+    rows are too many for a task.
     """
     at = F.struct("stream_id", "position")
-    first = keyed.groupBy("key", "len").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "len", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("stream_id", "position"), F.lit(SALTS)).cast("int"))
-    return salted.join(first, ["key", "len", "salt"]).where(at != F.col("first")).select(
+    first = keyed.groupBy("key", "len").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "len", "first")
+    return keyed.join(first, ["key", "len"]).where(at != F.col("first")).select(
         F.col("first.stream_id").alias("src_stream"), F.col("first.position").alias("src"), "stream_id", F.col("position").alias("dst"), F.col("len").cast("long").alias("len")
     )
 

@@ -72,22 +72,26 @@ def io_operations(matches: DataFrame, streams: DataFrame, block_size: int) -> Da
     return lit.unionByName(ref).withColumn("op_id", (F.row_number().over(by) - 1).cast("long")).select("stream_id", "block_id", "op_id", "op", "pos", "len", "distance")
 
 
-def encoded_sizes(matches: DataFrame, streams: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """(stream_id, layout, encoded_size): the bytes of a container in each layout, from row values alone."""
+def encoded_sizes(matches: DataFrame, streams: DataFrame, cfg: MatchConfig, which: tuple[str, ...] = ("index", "future", "io")) -> DataFrame:
+    """(stream_id, layout, encoded_size): the bytes of a container in each layout of ``which``, from row values alone."""
     width = {"xxh3": 16, "blake3": 32}[cfg.checksum]
     fixed = HEADER_BYTES + TAIL_BYTES + 2 * width
     blocks = F.expr(f"(byte_len + {cfg.block_size - 1}) div {cfg.block_size}")
-    base = streams.select("stream_id", "byte_len", blocks.alias("blocks"))
+    out = streams.select("stream_id", "byte_len", blocks.alias("blocks"))
     v = varint_bytes
-    index = index_table(matches).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"), F.sum(v(F.col("dst_gap")) + v(F.col("distance")) + v(F.col("total_len"))).alias("table_bytes"), F.sum("total_len").alias("covered"))
-    registers = future_registers(matches, cfg.block_size).groupBy("stream_id", "block_id").agg(F.count(F.lit(1)).alias("n"), F.sum(v(F.col("source_offset")) + v(F.col("distance")) + v(F.col("total_len"))).alias("b"))
-    future = registers.groupBy("stream_id").agg(F.sum(F.col("b") + v(F.col("n")) - 1).alias("register_bytes"))
-    ops = io_operations(matches, streams, cfg.block_size)
-    head = F.when(F.col("op") == "literal", 1 + v(F.col("len"))).otherwise(1 + v(F.col("distance")) + v(F.col("len")))
-    io = ops.groupBy("stream_id").agg(F.sum(head).alias("op_bytes"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    all_ = base.join(index, "stream_id", "left").join(future, "stream_id", "left").join(io, "stream_id", "left")
+    sizes = {}
+    index = index_table(matches).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"), F.sum(v(F.col("dst_gap")) + v(F.col("distance")) + v(F.col("total_len"))).alias("table_bytes"), F.sum("total_len").alias("covered"))
+    out = out.join(index, "stream_id", "left")
+    sizes["index"] = v(zero("n")) + zero("table_bytes")
+    if "future" in which:
+        registers = future_registers(matches, cfg.block_size).groupBy("stream_id", "block_id").agg(F.count(F.lit(1)).alias("m"), F.sum(v(F.col("source_offset")) + v(F.col("distance")) + v(F.col("total_len"))).alias("b"))
+        out = out.join(registers.groupBy("stream_id").agg(F.sum(F.col("b") + v(F.col("m")) - 1).alias("register_bytes")), "stream_id", "left")
+        sizes["future"] = F.col("blocks") + zero("register_bytes")
+    if "io" in which:
+        head = F.when(F.col("op") == "literal", 1 + v(F.col("len"))).otherwise(1 + v(F.col("distance")) + v(F.col("len")))
+        out = out.join(io_operations(matches, streams, cfg.block_size).groupBy("stream_id").agg(F.sum(head).alias("op_bytes")), "stream_id", "left")
+        sizes["io"] = zero("op_bytes")
     shared = F.lit(fixed) + F.col("byte_len") - zero("covered") + F.col("blocks") * CRC_BYTES
-    sizes = {"index": v(zero("n")) + zero("table_bytes"), "future": F.col("blocks") + zero("register_bytes"), "io": zero("op_bytes")}
-    rows = F.array(*(F.struct(F.lit(k).alias("layout"), (shared + x).cast("long").alias("encoded_size")) for k, x in sizes.items()))
-    return all_.select("stream_id", F.explode(rows).alias("r")).select("stream_id", "r.layout", "r.encoded_size")
+    rows = F.array(*(F.struct(F.lit(k).alias("layout"), (shared + sizes[k]).cast("long").alias("encoded_size")) for k in which))
+    return out.select("stream_id", F.explode(rows).alias("r")).select("stream_id", "r.layout", "r.encoded_size")

@@ -8,10 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.config import MatchConfig
 from ..functions.hashing import PrefixHash, as_bytes, crc32c
 from ..functions.kernels import chunks as chunk_bounds
+from ..functions.kernels import representatives
 
 
 def blocks(streams: DataFrame, block_size: int) -> DataFrame:
@@ -27,7 +29,7 @@ def blocks(streams: DataFrame, block_size: int) -> DataFrame:
 @F.pandas_udf(T.LongType())
 def crc32c_of(data: pd.Series) -> pd.Series:
     """CRC-32C (not the CRC-32 of Spark's own function)."""
-    return data.map(lambda b: None if b is None else crc32c(bytes(b))).astype("Int64")
+    return pd.Series([None if b is None else crc32c(b) for b in data], dtype="Int64")
 
 
 def block_digests(streams: DataFrame, block_size: int) -> DataFrame:
@@ -54,22 +56,34 @@ def windows(streams: DataFrame, length: int) -> DataFrame:
     return streams.select("stream_id", "payload").mapInArrow(run, "stream_id long, position long, hash long")
 
 
+def _per_stream(streams: DataFrame, make, schema: str, kinds: list) -> DataFrame:
+    """A row for each entry of the arrays that ``make`` gives for a payload, with its stream's id; a batch for each batch read."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            found = [make(p) for p in b["payload"].to_pylist()]
+            ids = np.repeat(b["stream_id"].to_numpy(zero_copy_only=False), [len(f[0]) for f in found])
+            columns = [np.concatenate([f[i] for f in found]) for i in range(len(names) - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+
+    return streams.select("stream_id", "payload").mapInArrow(run, schema)
+
+
 def region_representatives(streams: DataFrame, region: int) -> DataFrame:
     """(stream_id, region_id, position, hash, visible_at): each region's window of largest unsigned hash, ties to the first.
 
     A region cut off by the end of the stream is never visible and left out.
     """
-    h = windows(streams, region).join(streams.select("stream_id", "byte_len"), "stream_id")
-    whole = F.expr(f"(byte_len - {region} + 1) div {region}")
-    # flipping the sign bit puts signed numbers in unsigned order
-    unsigned = F.col("hash").bitwiseXOR(F.lit(-(2**63)))
-    return (
-        h.withColumn("region_id", F.expr(f"position div {region}"))
-        .where(F.col("region_id") < whole)
-        .groupBy("stream_id", "region_id")
-        .agg(F.max(F.struct(unsigned.alias("u"), (-F.col("position")).alias("p"), "hash")).alias("best"))
-        .select("stream_id", "region_id", (-F.col("best.p")).alias("position"), F.col("best.hash").alias("hash"), ((F.col("region_id") + 1) * region).alias("visible_at"))
-    )
+
+    def make(payload: bytes):
+        h = PrefixHash(as_bytes(payload)).windows(region) if len(payload) >= region else np.zeros(0, np.uint64)
+        at, visible = representatives(h, region)
+        return np.arange(len(at)), at, h[at].view(np.int64), visible
+
+    return _per_stream(streams, make, "stream_id long, region_id long, position long, hash long, visible_at long", [pa.int64()] * 4)
 
 
 def cdc_chunks(streams: DataFrame, cfg: MatchConfig) -> DataFrame:
@@ -90,8 +104,15 @@ def cdc_chunks(streams: DataFrame, cfg: MatchConfig) -> DataFrame:
 
 def byte_statistics(streams: DataFrame) -> DataFrame:
     """(stream_id, byte_len, distinct_bytes, top_share, entropy): the histogram of bytes, reduced; nothing for empty streams."""
-    pairs = streams.where("byte_len > 0").select("stream_id", "byte_len", F.explode(F.sequence(F.lit(1), F.col("byte_len").cast("int"))).alias("i"), "payload")
-    each = pairs.select("stream_id", "byte_len", F.hex(F.substring("payload", F.col("i"), F.lit(1))).alias("byte"))
-    counts = each.groupBy("stream_id", "byte_len", "byte").agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") / F.col("byte_len")
-    return counts.groupBy("stream_id", "byte_len").agg(F.count(F.lit(1)).alias("distinct_bytes"), F.max(share).alias("top_share"), (-F.sum(share * F.log2(share))).alias("entropy"))
+
+    def make(payload: bytes):
+        seen = np.bincount(as_bytes(payload), minlength=256)
+        share = seen[seen > 0] / len(payload)
+        return [len(payload)], [len(share)], [share.max()], [-(share * np.log2(share)).sum()]
+
+    return _per_stream(streams.where("byte_len > 0"), make, "stream_id long, byte_len long, distinct_bytes long, top_share double, entropy double", [pa.int64(), pa.int64(), pa.float64(), pa.float64()])
+
+
+def ordinals(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with ``ordinal``: a stream's chunks numbered from 0 by where they start."""
+    return chunks.withColumn("ordinal", (F.row_number().over(Window.partitionBy("stream_id").orderBy("start", "end")) - 1).cast("long"))

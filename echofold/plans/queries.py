@@ -14,6 +14,7 @@ from .. import engine
 from ..functions.config import MatchConfig, Overlay
 from ..operators import archives, candidates, documents, evaluate, layouts, scans, select
 from ..sources import streams, table
+from ..sources.manifests import json_status
 
 SEED, BLOCK = 64, 1024
 #: Parameters by method that fit documents of a few KB.
@@ -83,6 +84,33 @@ marks AS (SELECT stream_id, dst, dst + len AS upto FROM m UNION ALL SELECT strea
 gaps AS (SELECT stream_id, coalesce(lag(upto) OVER (PARTITION BY stream_id ORDER BY dst, upto), 0) AS a, dst AS b FROM marks),
 lit AS (SELECT stream_id, block_id, greatest(a, block_id * {BLOCK}) AS start, least(b, (block_id + 1) * {BLOCK}) - greatest(a, block_id * {BLOCK}) AS len
         FROM (SELECT *, unnest(range(a // {BLOCK}, (b - 1) // {BLOCK} + 1)) AS block_id FROM gaps WHERE a < b))"""
+# Runs of bytes that equal those a distance behind, for each distance of a seed and its like.
+_RUNS_OF_BYTES = lambda seed: f"""
+s AS (SELECT doc_id AS stream_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS byte_len FROM documents WHERE doc_id IS NOT NULL),
+cut AS MATERIALIZED (SELECT stream_id, k, substr(h, 128 * k + 1, 128) AS piece FROM (SELECT *, unnest(range((byte_len + 63) // 64)) AS k FROM s)),
+wide AS MATERIALIZED (SELECT stream_id, k, piece || coalesce(lead(piece) OVER (PARTITION BY stream_id ORDER BY k), '') AS wide FROM cut),
+bytes AS MATERIALIZED (SELECT stream_id, 64 * k + j AS p, substr(piece, 2 * j + 1, 2) AS byte FROM (SELECT *, unnest(range(length(piece) // 2)) AS j FROM cut)),
+windows AS (SELECT stream_id, 64 * k + j AS position, substr(wide, 2 * j + 1, {2 * seed}) AS key FROM (SELECT *, unnest(range(64)) AS j FROM wide) WHERE length(wide) >= 2 * j + {2 * seed}),
+behind AS MATERIALIZED (SELECT DISTINCT stream_id, b.position - a.position AS distance FROM windows a JOIN windows b USING (stream_id, key) WHERE a.position % {seed} = 0 AND a.position < b.position),
+equal AS (SELECT a.stream_id, distance, a.p FROM behind JOIN bytes a USING (stream_id) JOIN bytes b ON b.stream_id = a.stream_id AND b.p = a.p + distance AND b.byte = a.byte),
+runs AS MATERIALIZED (SELECT stream_id, distance, min(p) AS src, count(*) AS len FROM (SELECT *, p - row_number() OVER (PARTITION BY stream_id, distance ORDER BY p) AS run FROM equal) GROUP BY stream_id, distance, run HAVING count(*) >= {seed})"""
+_WHOLE_RUNS = "SELECT stream_id, src, src + distance AS dst, len FROM runs WHERE len >= 64"
+_WHOLE_SEEDS = "SELECT stream_id, p AS src, p + distance AS dst, (src + len - p) // 32 * 32 AS len FROM (SELECT *, unnest(range((src + 31) // 32 * 32, src + len, 32)) AS p FROM runs) WHERE (src + len - p) // 32 * 32 >= 64"
+# The best set of intervals: from the last to the first, each is taken if it is worth as much as going without it.
+_BEST = lambda found: f"""
+r AS (SELECT stream_id, dst, len, min(src) AS src FROM ({found}) WHERE len > 25 GROUP BY stream_id, dst, len),
+o AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY dst, src, len DESC) AS i, count(*) OVER (PARTITION BY stream_id) AS n FROM r),
+a AS MATERIALIZED (SELECT x.stream_id, x.i, any_value(x.n) AS n, any_value(x.src) AS src, any_value(x.dst) AS dst, any_value(x.len) AS len, 1 + count(y.i) AS after
+      FROM o x LEFT JOIN o y ON x.stream_id = y.stream_id AND y.dst < x.dst + x.len GROUP BY x.stream_id, x.i),
+dp AS (SELECT DISTINCT stream_id, n + 1 AS i, [0::BIGINT] AS gain, [0::BIGINT] AS covered, [0::BIGINT] AS few, []::BOOLEAN[] AS take FROM a
+  UNION ALL
+  SELECT stream_id, i, list_prepend(CASE WHEN t THEN g ELSE gain[1] END, gain), list_prepend(CASE WHEN t THEN c ELSE covered[1] END, covered), list_prepend(CASE WHEN t THEN f ELSE few[1] END, few), list_prepend(t, take)
+  FROM (SELECT *, (g, c, f) >= (gain[1], covered[1], few[1]) AS t FROM (
+    SELECT a.stream_id, a.i, gain, covered, few, take, gain[after - dp.i + 1] + len - 25 AS g, covered[after - dp.i + 1] + len AS c, few[after - dp.i + 1] - 1 AS f FROM dp JOIN a ON a.stream_id = dp.stream_id AND a.i = dp.i - 1))),
+walk AS (SELECT stream_id, 1::BIGINT AS i, take FROM dp WHERE i = 1
+  UNION ALL
+  SELECT w.stream_id, CASE WHEN w.take[w.i] THEN a.after ELSE w.i + 1 END, w.take FROM walk w JOIN a ON a.stream_id = w.stream_id AND a.i = w.i),
+m AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY i) - 1 AS origin_match_id, src, dst, CAST(len AS BIGINT) AS len FROM walk JOIN a USING (stream_id, i) WHERE take[i])"""
 _VAR = lambda v: f"greatest(1, (length(bin({v})) + 6) // 7)"
 
 
@@ -103,7 +131,16 @@ def block_partition(spark, sf_dir):
     return scans.blocks(docs(spark, sf_dir), BLOCK).select("stream_id", "block_id", "start", "len", F.sha2("bytes", 256).alias("sha256"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE s AS (SELECT doc_id AS stream_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT stream_id, block_id, substr(h, block_id * {2 * BLOCK} + 1, {2 * BLOCK}) AS h, least({BLOCK}, n - block_id * {BLOCK}) AS len FROM (SELECT *, unnest(range((n + {BLOCK - 1}) // {BLOCK})) AS block_id FROM s)),
+e AS (SELECT stream_id, block_id, len, len - 1 - j AS k, CAST('0x' || substr(h, 2 * j + 1, 2) AS BIGINT) AS byte FROM (SELECT *, unnest(range(len)) AS j FROM b)),
+one AS MATERIALIZED (SELECT i AS byte, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i)),
+t AS (SELECT 0 AS k, byte, v FROM one UNION ALL SELECT k + 1, t.byte, xor(t.v >> 8, one.v) FROM t JOIN one ON one.byte = t.v & 255 WHERE k < {BLOCK}),
+z AS (SELECT 0 AS len, 4294967295 AS v UNION ALL SELECT len + 1, xor(z.v >> 8, one.v) FROM z JOIN one ON one.byte = z.v & 255 WHERE len < {BLOCK}),
+x AS (SELECT stream_id, block_id, len, bit_xor(t.v) AS v FROM e JOIN t USING (k, byte) GROUP BY stream_id, block_id, len)
+SELECT stream_id, block_id, xor(xor(x.v, z.v), 4294967295) AS crc32c FROM x JOIN z USING (len)"""
+)
 def block_crc32c(spark, sf_dir):
     return scans.block_digests(docs(spark, sf_dir), BLOCK).select("stream_id", "block_id", "crc32c")
 
@@ -175,6 +212,12 @@ def overlap_islands(spark, sf_dir):
     return select.islands(r).groupBy("stream_id", "island").agg(F.count(F.lit(1)).alias("intervals"), F.min("dst").alias("start"), F.max(F.col("dst") + F.col("len")).alias("end_"))
 
 
+@query(f"WITH RECURSIVE {_RUNS}, {_BEST('SELECT * FROM c')} SELECT * FROM m")
+def best_intervals(spark, sf_dir):
+    """The choice among candidates of whole aligned seeds."""
+    return select.best_intervals(select.representatives(select.gain_filter(aligned_runs(docs(spark, sf_dir)))))
+
+
 @query(
     f"""WITH {_RUNS}, r AS (SELECT DISTINCT stream_id, dst, len FROM c WHERE len > 25),
 e AS (SELECT stream_id, dst, dst + len AS upto FROM r)
@@ -213,19 +256,30 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+#: Finders whose candidates SQL can tell: whole seeds of runs of equal bytes, or those runs.
+_FOUND_BY_SQL = {"m3": (32, _WHOLE_SEEDS), "m4": (32, _WHOLE_RUNS), "m5": (CONFIGS["m5"].seed, _WHOLE_RUNS)}
+
+
 def _matches_query(name: str):
     def run(spark, sf_dir):
         return engine.find_matches(docs(spark, sf_dir), CONFIGS[name])
 
     run.__name__ = "matches_" + name.replace("+", "_")
-    query()(run)
+    seed, found = _FOUND_BY_SQL.get(name, (0, ""))
+    query(f"WITH RECURSIVE {_RUNS_OF_BYTES(seed)}, {_BEST(found)} SELECT * FROM m" if seed else None)(run)
 
 
 for _name in CONFIGS:
     _matches_query(_name)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_RUNS_OF_BYTES(32)}, {_BEST(_WHOLE_RUNS)},
+i AS (SELECT stream_id, count(*) AS n, sum({_VAR("gap")} + {_VAR("dst - src")} + {_VAR("len")}) AS b, sum(len) AS covered FROM (SELECT *, dst - coalesce(lag(dst + len) OVER (PARTITION BY stream_id ORDER BY dst), 0) AS gap FROM m) GROUP BY stream_id),
+t AS (SELECT stream_id, byte_len, coalesce(n, 0) AS n, coalesce(b, 0) AS b, coalesce(covered, 0) AS covered FROM s LEFT JOIN i USING (stream_id))
+SELECT stream_id, byte_len AS original_size, n AS semantic_match_count, CAST(covered AS BIGINT) AS covered_bytes, CAST(byte_len - covered AS BIGINT) AS literal_bytes,
+       CAST(156 + byte_len - covered + 4 * ((byte_len + 8388607) // 8388608) + {_VAR("n")} + b AS BIGINT) AS archive_size, 'm4' AS method, 'index' AS layout, 'xxh3' AS checksum FROM t"""
+)
 def method_stats(spark, sf_dir):
     """The flagship: coverage and container size of each document by m4."""
     return engine.statistics(docs(spark, sf_dir), CONFIGS["m4"])
@@ -233,15 +287,18 @@ def method_stats(spark, sf_dir):
 
 @query()
 def method_comparison(spark, sf_dir):
-    """Each method's container sizes against those of m4: wins, ties, losses and the mean share covered."""
+    """Each method's container sizes against those of m4: wins, ties, losses and the mean share covered.
+
+    Every method is run once; a stream's rows meet by its id.
+    """
     s = docs(spark, sf_dir).where("byte_len > 0")
-    stats = {k: engine.statistics(s, cfg) for k, cfg in CONFIGS.items() if k in ("m1", "m3", "m4")}
-    rows = []
-    for k, st in stats.items():
-        vs = evaluate.compare_sizes(st.withColumn("kind", F.lit(k)), stats["m4"].withColumn("kind", F.lit(k)), ["kind", "stream_id"], ["kind"], "archive_size")
-        share = st.agg(F.round(evaluate.geometric_mean((F.col("covered_bytes") + 1) / (F.col("original_size") + 1)), 9).alias("coverage_mean"))
-        rows.append(vs.select("kind", "wins", "ties", "losses", "majority").join(share.withColumn("kind", F.lit(k)), "kind"))
-    return _union(rows)
+    each = _union([engine.statistics(s, cfg).withColumn("kind", F.lit(k)) for k, cfg in CONFIGS.items()])
+    base = F.max(F.when(F.col("kind") == "m4", F.col("archive_size"))).over(Window.partitionBy("stream_id"))
+    rows = each.withColumn("base", base)
+    n, o = F.col("archive_size"), F.col("base")
+    share = (F.col("covered_bytes") + 1) / (F.col("original_size") + 1)
+    out = rows.groupBy("kind").agg(F.count_if(n < o).alias("wins"), F.count_if(n == o).alias("ties"), F.count_if(n > o).alias("losses"), F.round(evaluate.geometric_mean(share), 9).alias("coverage_mean"))
+    return out.withColumn("majority", F.col("wins") * 2 > F.col("wins") + F.col("ties") + F.col("losses"))
 
 
 # -- layouts and containers ------------------------------------------------------------------
@@ -321,10 +378,29 @@ for _layout in ("index", "future", "io"):
     _round_trip(_layout)
 
 
-@query()
+_PLAIN = MatchConfig("m4", min_match=64, seed_size=SEED, block_size=BLOCK)
+
+
+@query(
+    f"""WITH {_ALIGNED},
+i AS (SELECT stream_id, count(*) AS n, sum({_VAR("gap")} + {_VAR("dst - src")} + {_VAR("len")}) AS b, sum(len) AS covered FROM (SELECT *, dst - coalesce(lag(dst + len) OVER (PARTITION BY stream_id ORDER BY dst), 0) AS gap FROM m) GROUP BY stream_id),
+t AS (SELECT stream_id, byte_len, (byte_len + {BLOCK - 1}) // {BLOCK} AS blocks, coalesce(n, 0) AS n, coalesce(b, 0) AS b, CAST(coalesce(covered, 0) AS BIGINT) AS covered FROM s LEFT JOIN i USING (stream_id))
+SELECT stream_id, 'own' AS format, 'ok' AS status, CAST(156 + byte_len - covered + 4 * blocks + {_VAR("n")} + b AS BIGINT) AS archive_size, 'm4' AS method, 'index' AS layout, 'xxh3' AS checksum, {BLOCK}::BIGINT AS block_size, 64::BIGINT AS min_match,
+       byte_len AS original_size, blocks AS block_count, n AS semantic_match_count, covered AS covered_bytes, byte_len - covered AS literal_bytes, CAST({_VAR("n")} + b AS BIGINT) AS index_size, byte_len - covered + 4 * blocks AS payload_size FROM t"""
+)
 def inspect_archives(spark, sf_dir):
     s = docs(spark, sf_dir)
-    return archives.inspect_archives(engine.compress(s, MatchConfig("m1", target_chunk=128, block_size=65536)))
+    return archives.inspect_archives(archives.write_archives(aligned_matches(s), s, _PLAIN))
+
+
+@query("SELECT doc_id AS stream_id, 'own' AS whole, 'truncated' AS short, 'corrupt' AS other FROM documents WHERE doc_id IS NOT NULL")
+def sniff_written(spark, sf_dir):
+    """What the first bytes tell of containers: whole, cut within their mark, and with another first byte."""
+    s = docs(spark, sf_dir)
+    out = archives.write_archives(aligned_matches(s), s, _PLAIN)
+    for name, payload in {"whole": F.col("archive"), "short": F.substring("archive", 1, 5), "other": F.concat(F.unhex(F.lit("00")), F.expr("substring(archive, 2)"))}.items():
+        out = archives.sniff_formats(out.withColumn("head", payload), "head").withColumnRenamed("format", name)
+    return out.select("stream_id", "whole", "short", "other")
 
 
 @query("SELECT page_id, CASE WHEN octet_length(encode(coalesce(html, ''))) < 8 THEN CASE WHEN coalesce(html, '') = '' THEN 'truncated' ELSE 'corrupt' END ELSE 'corrupt' END AS format FROM pages")
@@ -342,6 +418,13 @@ def log_field_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total_k"), F.count_if(F.col("k").isNull()).alias("unparsed"))
 
 
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (json_valid(props)) AS strict FROM events GROUP BY event_type")
+def strict_json_props(spark, sf_dir):
+    """Properties that are JSON without any leniency."""
+    rows = json_status(table(spark, sf_dir, "events"), "props")
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("json_status") == "ok").alias("strict"))
+
+
 @query("SELECT lang, round(exp(avg(ln(octet_length(encode(text))))), 6) AS mean_bytes, count(*) AS n FROM documents WHERE text <> '' GROUP BY lang")
 def geometric_mean_bytes(spark, sf_dir):
     t = table(spark, sf_dir, "documents").where("text <> ''")
