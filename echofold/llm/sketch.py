@@ -27,7 +27,7 @@ def sketch(text: Column, shingle: int = SHINGLE, one_in: int = ONE_IN) -> Column
 
     Shingles are runs of ``shingle`` words; a text of fewer words is one shingle, the empty
     text too. Hashes lie in [-2**63, 2**63); those below -2**63 + 2**64 / one_in are kept.
-    A text all of whose hashes are above has an empty sketch.
+    Of a text all of whose hashes are above, the least hash stands for the sketch.
     """
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
     # hashing each word first keeps the shingles' own hashes to a few numbers each
@@ -35,28 +35,34 @@ def sketch(text: Column, shingle: int = SHINGLE, one_in: int = ONE_IN) -> Column
 
     def of(h: Column) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (shingle - 1), F.lit(1))), lambda i: F.xxhash64(*(F.get(h, i + (j - 1)) for j in range(shingle))))
-        last = -(2**63) + 2**64 // one_in - 1
-        return F.array_sort(F.array_distinct(F.filter(each, lambda x: x <= F.lit(last))))
+        return _retained(F.array_distinct(each), one_in)
 
     # through a one-element array, so that the words are hashed once and not at each use
     return F.transform(F.array(hashed), of)[0]
 
 
-def merge(a: Column, b: Column) -> Column:
+def _retained(hashes: Column, one_in: int) -> Column:
+    """The distinct ``hashes`` below the bound, sorted, or else the least of them."""
+    last = -(2**63) + 2**64 // one_in - 1
+    ranked = F.array_sort(hashes)
+    below = F.filter(ranked, lambda x: x <= F.lit(last))
+    return F.when(F.size(below) > 0, below).otherwise(F.slice(ranked, 1, 1))
+
+
+def merge(a: Column, b: Column, one_in: int = ONE_IN) -> Column:
     """The sketch of both texts together (but for the shingles across their border)."""
-    return F.array_sort(F.array_union(a, b))
+    return _retained(F.array_union(a, b), one_in)
 
 
-def resemblance(a: Column, b: Column, same: Column) -> Column:
-    """Estimated Jaccard likeness, 0 to 1. Two empty sketches tell nothing: then ``same``, whether the texts are equal."""
+def resemblance(a: Column, b: Column) -> Column:
+    """Estimated Jaccard likeness, 0 to 1."""
     both = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - both
-    return F.when(union == 0, same.cast("double")).otherwise(both.cast("double") / union)
+    return both.cast("double") / (F.size(a) + F.size(b) - both)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has, 0 to 1; an empty sketch is contained (1)."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)).cast("double") / F.size(a))
+    """Estimated share of a's shingles that b has, 0 to 1."""
+    return F.size(F.array_intersect(a, b)).cast("double") / F.size(a)
 
 
 def as_string(s: Column) -> Column:
@@ -74,9 +80,11 @@ def range_of(value: Column, bounds: list) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(above(at, step), at + step).otherwise(at))
 
 
-def with_next(docs: DataFrame, id_col: str, columns: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, columns: list[str], range_rows: int = RANGE_ROWS, added: dict[str, Column] | None = None) -> DataFrame:
     """``docs`` with ``next_<column>``, of the row that follows in descending ``id_col`` order; after the last comes the first.
 
+    The columns ``added`` are made once for each row, and are handed on like ``columns``.
+
     Null ids come last; equal ids are in descending order of ``columns``. Rows are dealt to
     ranges of ids of about ``range_rows`` rows, ``MOST_RANGES`` at most, and put in order
     range by range. The first row of a range is added behind the last of the range before,
@@ -89,16 +97,17 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], range_rows: int
     bounds = sorted(set(found or ()))
     ranged = docs.withColumn("__range", F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(range_of(F.col(id_col), bounds)))
     tops = {r["__range"]: r["top"] for r in ranged.groupBy("__range").agg(F.max(id_col).alias("top")).collect()}
+    added = added or {}
     if not tops:
-        return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+        return docs.withColumns(added).select("*", *(F.col(c).alias(f"next_{c}") for c in (*columns, *added)))
     down = sorted(tops, reverse=True)
     handed = spark.createDataFrame([(tops[below], above) for above, below in zip(down, down[1:] + down[:1], strict=True)], "__top long, __for int")
     at_top = docs.join(F.broadcast(handed), F.col(id_col).cast("long").eqNullSafe(F.col("__top")))
     heads = at_top.groupBy("__for").agg(F.max(F.struct(id_col, *columns)).alias("h")).select(F.col("h")[id_col].alias(id_col), *(F.col("h")[c].alias(c) for c in columns), F.col("__for").alias("__range"), F.lit(True).alias("__handed"))
     w = Window.partitionBy("__range").orderBy("__handed", F.col(id_col).desc_nulls_last(), *(F.col(c).desc_nulls_last() for c in columns))
-    both = ranged.withColumn("__handed", F.lit(False)).unionByName(heads, allowMissingColumns=True)
-    nexts = both.withColumn("__next", F.lead(F.struct(*columns)).over(w)).where("NOT __handed")
-    return nexts.select(*docs.columns, *(F.col("__next")[c].alias(f"next_{c}") for c in columns))
+    both = ranged.withColumn("__handed", F.lit(False)).unionByName(heads, allowMissingColumns=True).withColumns(added)
+    nexts = both.withColumn("__next", F.lead(F.struct(*columns, *added)).over(w)).where("NOT __handed")
+    return nexts.select(*docs.columns, *added, *(F.col("__next")[c].alias(f"next_{c}") for c in (*columns, *added)))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, one_in: int = ONE_IN) -> DataFrame:
@@ -116,19 +125,19 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     empty one. Repeated rows count each; an empty table gives none.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows = with_next(base.withColumn("sketch", sketch(F.col("text"), shingle, one_in)), "doc_id", ["text", "sketch"], range_rows)
+    rows = with_next(base, "doc_id", ["text"], range_rows, {"sketch": sketch(F.col("text"), shingle, one_in)})
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    out = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), (edited == F.col("text")).alias("as_edited"), (F.col("next_text") == F.col("text")).alias("as_next"), "sketch", "next_sketch")
+    out = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
     # the aliased sketch must not be merged into its uses, which would make it once for each
-    out = out.select("doc_id", "n_chars", "as_edited", "as_next", "sketch", "next_sketch", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.explode(F.array(sketch(F.col("edited"), shingle, one_in))).alias("edited_sketch"))
+    out = out.select("doc_id", "n_chars", "sketch", "next_sketch", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.explode(F.array(sketch(F.col("edited"), shingle, one_in))).alias("edited_sketch"))
     return out.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         as_string(F.col("sketch")).alias("fingerprint"),
         as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
-        resemblance(F.col("sketch"), F.col("edited_sketch"), F.col("as_edited")).alias("near_edited"),
-        resemblance(F.col("sketch"), F.col("next_sketch"), F.col("as_next")).alias("near_next"),
+        resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
     )
