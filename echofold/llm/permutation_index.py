@@ -79,16 +79,17 @@ def footrule_gains(orders: np.ndarray, queries: np.ndarray, n_pivots: int):
         yield gain
 
 
-def _search(dim: int, pivots: int, k: int, rerank: int):
+def _search(dim: int, pivots: int, k: int, share: float):
     def run(data: pa.Table, asked: pa.Table) -> pa.Table:
         ids, qids = (np.asarray(t["vec_id"].to_numpy()) for t in (data, asked))
         out: tuple[list, list, list] = ([], [], [])
         if len(ids) and len(qids):
             v, q = _unit(_matrix(data["vec"], dim)), _unit(_matrix(asked["vec"], dim))
             orders, wanted = (_matrix(t["near"], len(t["near"][0])) for t in (data, asked))
+            most = min(len(ids), max(4 * k, ceil(share * len(ids))))
             for i, gain in enumerate(footrule_gains(orders, wanted, pivots)):
                 gain[ids == qids[i]] = -1
-                least = np.partition(gain, len(gain) - rerank)[len(gain) - rerank] if len(gain) > rerank else 0
+                least = np.partition(gain, len(gain) - most)[len(gain) - most]
                 at = np.flatnonzero(gain >= max(least, 0))
                 score = (v[at] * q[i]).sum(axis=1)
                 best = np.lexsort((ids[at], -score))[:k]
@@ -109,8 +110,8 @@ def permutation_neighbours(
     vec_col: str = "embedding",
     k: int = 5,
     n_pivots: int = 256,
-    prefix: int = 48,
-    rerank: int = 2_048,
+    prefix: int = 96,
+    rerank: float = 0.125,
     seed: int = 7,
     block_rows: int = BLOCK_ROWS,
     block_queries: int = BLOCK_QUERIES,
@@ -119,20 +120,22 @@ def permutation_neighbours(
 
     ``n_pivots`` rows, drawn by a seeded hash of the id, are the pivots: the only thing
     fitted on a sample, and all that is sent to the driver. Every row is indexed.
-    ``rerank`` rows of each block, and all that tie with the last of them, are ranked by
-    the exact cosine of the original vectors in double precision; ties go to the smaller
-    id. A query's own id is never its neighbour. Null, zero and non-finite vectors and
-    null ids take no part; nor do vectors of another length than the first pivot's. An
+    Of each block, whatever its size, that share ``rerank`` which is nearest by footrule
+    (4 * ``k`` rows at least), and all that tie with the last of it, is ranked by the exact
+    cosine of the original vectors in double precision; ties go to the smaller id. A
+    query's own id is never its neighbour. Null, zero and non-finite vectors and null ids
+    take no part; nor do vectors of another length than the commonest (of those the shortest). An
     empty table, or one without usable vectors, gives no rows; where fewer than ``k``
     other rows exist, all are given. Further columns are ignored.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    first = usable(vectors, id_col, vec_col).orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(n_pivots).collect()
-    if not first:
+    common = usable(vectors, id_col, vec_col).groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    if not common:
         return empty
-    dim = len(first[0]["vec"])
-    pivots = _unit(np.array([r["vec"] for r in first if len(r["vec"]) == dim]))
+    dim = common["dim"]
+    first = usable(vectors, id_col, vec_col, dim).orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(n_pivots).collect()
+    pivots = _unit(np.array([r["vec"] for r in first]))
     prefix = min(prefix, len(pivots))
 
     def order(batches):

@@ -34,18 +34,42 @@ def test_whole_lists_against_brute_force(spark):
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA)
     asked = [(i, v) for i, v in rows if i % 50 == 0 or i == 6]
     got = {}
-    for x in sorted(permutation_neighbours(df, df.where("vec_id % 50 = 0 OR vec_id = 6"), block_rows=64, block_queries=3, rerank=64).collect(), key=lambda x: x["rank"]):
+    for x in sorted(permutation_neighbours(df, df.where("vec_id % 50 = 0 OR vec_id = 6"), block_rows=64, block_queries=3, rerank=1.0).collect(), key=lambda x: x["rank"]):
         got.setdefault(x.query_id, []).append(x.vec_id)
     single = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
     assert got == exact(single, [(i, [float(np.float32(x)) for x in v]) for i, v in asked])
 
 
+def recall(df, rows, **options):
+    want = exact(rows, [(i, v) for i, v in rows if i % 50 == 0])
+    hits = sum(r.vec_id in want[r.query_id] for r in permutation_neighbours(df, df.where("vec_id % 50 = 0"), **options).collect())
+    return hits / sum(map(len, want.values()))
+
+
 def test_recall_on_the_given_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding)) for r in df.select("vec_id", "embedding").collect()]
-    want = exact(rows, [(i, v) for i, v in rows if i % 50 == 0])
-    hits = sum(r.vec_id in want[r.query_id] for r in permutation_neighbours(df, df.where("vec_id % 50 = 0")).collect())
-    assert hits >= 0.9 * sum(map(len, want.values()))
+    assert recall(df, rows) >= 0.95 and recall(df, rows, rerank=0.01) < 0.9
+
+
+def test_recall_on_a_full_block_without_structure(spark):
+    r = np.random.default_rng(4)
+    v = r.standard_normal((16_384, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i * 5, x.tolist(), "x") for i, x in enumerate(v)], SCHEMA)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    asked = np.arange(0, len(v), 400)
+    near = u[asked] @ u.T
+    near[np.arange(len(asked)), asked] = -9
+    want = {int(5 * q): set((5 * np.argsort(-row)[:5]).tolist()) for q, row in zip(asked, near, strict=True)}
+    rows = permutation_neighbours(df, df.where("vec_id % 2000 = 0"), rerank=0.1).collect()
+    assert len(rows) == 5 * len(asked) and sum(x.vec_id in want[x.query_id] for x in rows) >= 0.9 * len(rows)
+
+
+def test_vectors_of_the_commonest_length_take_part(spark):
+    rows = [(0, [1.0]), (1, [1.0, 2.0]), (2, [1.0, 2.5]), (3, [2.0]), (4, [1.0, 0.0]), (5, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA)
+    got = permutation_neighbours(df, df).collect()
+    assert {r.query_id for r in got} == {r.vec_id for r in got} == {1, 2, 4} and len(got) == 6
 
 
 def test_rows_that_take_no_part(spark):
