@@ -470,6 +470,8 @@ def incremental_chunks(spark, sf_dir):
     from ..streaming.incremental import run_to_table, text_stream
 
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     root = f"{base.rstrip('/')}/incremental-{uuid.uuid4().hex}" if base else "file://" + tempfile.mkdtemp(prefix="echofold-stream-")
     schema = table(spark, sf_dir, "documents").schema
     out = run_to_table(spark, text_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet", schema), CONFIGS["m1"], f"{root}/out", f"{root}/state")
