@@ -15,11 +15,14 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in local tests, a folder of this machine is used.
+    Only where that is unset and all runs in one process, as in tests, a folder of this
+    machine is used; a cluster without one is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="echofold-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
