@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,3 +87,36 @@ def sniff_formats(df: DataFrame, payload_col: str, marks: Marks = Marks()) -> Da
     short = F.greatest(*(F.substring(F.lit(m), F.lit(1), F.octet_length(payload_col)) == F.col(payload_col) for m in known), F.lit(False))
     kind = F.when(F.octet_length(payload_col) < 8, F.when(short, "truncated").otherwise("corrupt")).when(head == F.lit(marks.header), "own").when(any_of(marks.retired), "retired").when(any_of(marks.legacy), "legacy").otherwise("corrupt")
     return df.withColumn("format", kind)
+
+
+#: Checksums of retired headers: id, bytes of the seed, and the digest's width less 16 modulo 256; fixed values.
+DESCRIPTORS = {"md5": (0, 0, 0), "none": (1, 0, 0), "sha1": (2, 0, 4), "sha512": (3, 0, 48), "vhash": (4, 32, 0), "siphash": (5, 16, 248)}
+#: Layouts by version; fixed values.
+RETIRED_LAYOUTS = {1: "io-rounded", 2: "io", 3: "future", 4: "index"}
+
+
+def retired_headers(df: DataFrame, payload_col: str, mark: bytes) -> DataFrame:
+    """``df`` with status, version, checksum, layout, base_len, seed and header_end of retired headers, by expressions alone.
+
+    A header is the ``mark`` of 8 bytes, version, checksum id, seed length and width, the base
+    length in little-endian order, and the seed. Of a broken one only ``status`` is told: the
+    first rule that it breaks, as a kind of error.
+    """
+    p = F.col(payload_col)
+    byte = lambda i: F.conv(F.hex(F.substring(p, i + 1, 1)), 16, 10).cast("int")
+    own = (byte(9), byte(10), byte(11))
+    known = [(name, reduce(lambda a, b: a & b, (x == v for x, v in zip(own, d, strict=True)))) for name, d in DESCRIPTORS.items()]
+    checksum = reduce(lambda rest, k: F.when(k[1], k[0]).otherwise(rest), known, F.lit(None).cast("string"))
+    layout = reduce(lambda rest, v: F.when(byte(8) == v, RETIRED_LAYOUTS[v]).otherwise(rest), RETIRED_LAYOUTS, F.lit(None).cast("string"))
+    base = reduce(lambda a, b: a + b, (byte(12 + i).cast("long") * 256**i for i in range(4)))
+    status = (
+        F.when(F.coalesce(F.octet_length(p), F.lit(0)) < 16, "TruncatedArchive")
+        .when(F.substring(p, 1, 8) != F.lit(mark), "CorruptHeader")
+        .when(layout.isNull(), "UnsupportedVersion")
+        .when(checksum.isNull(), "UnknownChecksum")
+        .when((byte(8) <= 2) & (base == 0), "CorruptHeader")
+        .when(F.octet_length(p) < 16 + byte(10), "TruncatedArchive")
+        .otherwise("ok")
+    )
+    fields = {"version": byte(8), "checksum": checksum, "layout": layout, "base_len": base, "seed": F.substring(p, F.lit(17), byte(10)), "header_end": (16 + byte(10)).cast("long")}
+    return df.withColumn("status", status).withColumns({k: F.when(F.col("status") == "ok", v) for k, v in fields.items()})

@@ -409,6 +409,28 @@ def container_sniff(spark, sf_dir):
     return archives.sniff_formats(pages, "payload").select("page_id", "format")
 
 
+@query(
+    """WITH h AS (SELECT o_orderkey, o_orderkey % 6 AS version, (o_orderkey // 6) % 7 AS id, o_custkey % 5 * 65537 AS base_len, o_orderkey % 11 AS missing FROM orders),
+c AS (SELECT *, CASE id WHEN 4 THEN 32 WHEN 5 THEN 16 ELSE 0 END AS seed_len FROM h),
+x AS (SELECT *, CASE WHEN missing = 0 THEN 'TruncatedArchive' WHEN version NOT IN (1, 2, 3, 4) THEN 'UnsupportedVersion' WHEN id = 6 THEN 'UnknownChecksum' WHEN version <= 2 AND base_len = 0 THEN 'CorruptHeader'
+             WHEN missing = 1 AND seed_len > 0 THEN 'TruncatedArchive' ELSE 'ok' END AS status FROM c)
+SELECT o_orderkey, status, CASE WHEN status = 'ok' THEN CAST(version AS INTEGER) END AS version, CASE WHEN status = 'ok' THEN ['md5', 'none', 'sha1', 'sha512', 'vhash', 'siphash'][id + 1] END AS checksum,
+       CASE WHEN status = 'ok' THEN ['io-rounded', 'io', 'future', 'index'][version] END AS layout, CASE WHEN status = 'ok' THEN base_len END AS base_len, CASE WHEN status = 'ok' THEN 16 + seed_len END AS header_end FROM x"""
+)
+def retired_headers(spark, sf_dir):
+    """Headers of every version and checksum, made from order keys: some cut short, some of no known kind."""
+    n = lambda e: F.expr(f"CAST({e} AS INT)")
+    seed_len = F.expr("CASE (o_orderkey div 6) % 7 WHEN 4 THEN 32 WHEN 5 THEN 16 ELSE 0 END")
+    width = F.expr("CASE (o_orderkey div 6) % 7 WHEN 2 THEN 4 WHEN 3 THEN 48 WHEN 5 THEN 248 ELSE 0 END")
+    byte = lambda v: F.unhex(F.lpad(F.hex(v), 2, "0"))
+    base = n("o_custkey % 5 * 65537")
+    little = F.concat(*(byte(F.shiftrightunsigned(base, 8 * i).bitwiseAND(255)) for i in range(4)))
+    whole = F.concat(F.lit(b"RETIRED!"), byte(n("o_orderkey % 6")), byte(n("(o_orderkey div 6) % 7")), byte(seed_len), byte(width), little, F.encode(F.repeat(F.lit("s"), seed_len), "UTF-8"))
+    cut = F.expr("CASE o_orderkey % 11 WHEN 0 THEN 15 WHEN 1 THEN 17 ELSE 99 END")
+    made = table(spark, sf_dir, "orders").select("o_orderkey", F.substring(whole, F.lit(1), cut).alias("head"))
+    return archives.retired_headers(made, "head", b"RETIRED!").select("o_orderkey", "status", "version", "checksum", "layout", "base_len", "header_end")
+
+
 # -- evaluation ------------------------------------------------------------------------------
 
 
