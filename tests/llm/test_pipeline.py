@@ -47,3 +47,23 @@ def test_registry():
     assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {q.split("_")[0] for q in QUERIES}
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(QUERIES)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_odd_tables_pass_every_stage(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size int, shard string, text_id string, score double, taken long, node string, row int"
+    extra = ("x", 1, "s", "t", 0.5, 7, "n", 3)
+    good = "A plain sentence with some words, and then another one that follows. It ends here."
+    rows = [(None, None, "en", None, 0), (1, "", "en", "a", 0), (2, good, "en", "a", len(good)), (2, good, "en", "a", len(good)), (3, good + " More.", "en", None, 0), (None, good[:40], None, "b", 40), (4, "word " * 30_000, "en", "b", 0)]
+    frame = spark.createDataFrame([(*r[:4], r[4], *extra[1:]) for r in rows], schema)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 5)], "doc_id long, quality int, toxic int")
+    for k, docs in enumerate((frame, frame.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        labels.limit(4 * (1 - k)).write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        now = spark.read.parquet(f"{tmp_path}/{k}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            now = stash(stage(spark, now, f"{tmp_path}/{k}"), "stage")
+            if name != "byte-level BPE":
+                assert now.dtypes == docs.dtypes, name
+                assert all((r["size"], r.shard, r.text_id, r.taken, r.row) == (1, "s", "t", 7, 3) for r in now.collect())
+        assert "ids_sha256" in now.columns and (k == 0 or now.count() == 0)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/1").count() == 0
