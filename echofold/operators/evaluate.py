@@ -76,8 +76,7 @@ def gates(rows: DataFrame, expected: list[str]) -> DataFrame:
     at most 1 each, over samples that the baseline covers at all; sizes pass by a strict
     majority of smaller ones.
     """
-    known = rows.sparkSession.createDataFrame([(i,) for i in expected], "id string")
-    wanted = rows.select("method").distinct().crossJoin(F.broadcast(known)).withColumn("wanted", F.lit(1))
+    wanted = rows.select("method").distinct().select("method", F.explode(F.array(*map(F.lit, expected)).cast("array<string>")).alias("id"), F.lit(1).alias("wanted"))
     both = rows.join(wanted, ["method", "id"], "full_outer")
     share = F.when(F.col("old_covered") > 0, F.least(F.lit(1.0), F.col("new_covered") / F.col("old_covered")))
     n, o = F.col("new_size"), F.col("old_size")
