@@ -64,6 +64,11 @@ def mentions(text: Column) -> Column:
     return F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def is_personal(value: Column) -> Column:
+    """Whether a mention stands for something: a number in the form of a card's has to have a card's check sum."""
+    return ~value.rlike(f"^(?:{KINDS['card']})$") | (_luhn(F.regexp_replace(value, "[ -]", "")) == 0)
+
+
 def kind_of(value: Column) -> Column:
     """The first kind whose pattern the whole mention fits."""
     out = F.lit("secret")
@@ -254,16 +259,19 @@ def replace_personal_data(docs: DataFrame, *, key: str, text_col: str = "text",
     out_col = out_col or text_col
     # rows travel packed, so that no column of theirs meets one made here
     found = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text_col].cast("string").alias("text"))
+    # numbers that only look like cards' stay among the found, as the text is cut at them too
     found = found.withColumn("found", mentions(text_of("text"))).withColumn("text_id", F.unhex(F.md5(text_of("text"))))
-    has = F.size("found") > 0
+    found = found.withColumn("n", F.size(F.filter("found", is_personal)).cast("long"))
+    has = F.col("n") > 0
     texts = stash(found.where(has).select("text_id", "found").groupBy("text_id").agg(F.first("found").alias("found")), "texts-with-mentions")
     each = texts.select("text_id", F.posexplode("found").alias("i", "value"))
-    table = stash(replacements(each, key), "replacements")
-    new = each.join(table.hint("merge"), "value").groupBy("text_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "replacement"))), lambda x: x["replacement"]).alias("new"))
+    table = stash(replacements(each.where(is_personal(F.col("value"))), key), "replacements")
+    own = F.struct("i", F.coalesce("replacement", "value").alias("replacement"))
+    new = each.join(table.hint("merge"), "value", "left").groupBy("text_id").agg(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["replacement"]).alias("new"))
     new = stash(new, "replacements-of-texts")
     pieces = F.split("text", PATTERN, -1)
     rebuilt = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("new"), i), F.lit("")))), "")
-    changed = found.where(has).join(new.hint("merge"), "text_id").select("row", rebuilt.alias("out"), F.size("found").cast("long").alias("n"))
-    same = found.where(~has).select("row", F.col("text").alias("out"), F.lit(0).cast("long").alias("n"))
+    changed = found.where(has).join(new.hint("merge"), "text_id").select("row", rebuilt.alias("out"), "n")
+    same = found.where(~has).select("row", F.col("text").alias("out"), "n")
     columns = {c: F.col("row").getField(c) for c in docs.columns} | {out_col: F.col("out")} | ({count_col: F.col("n")} if count_col else {})
     return changed.unionByName(same).select(*(v.alias(k) for k, v in columns.items()))
