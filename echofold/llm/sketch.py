@@ -35,18 +35,18 @@ def sketch(text: Column, shingle: int = SHINGLE, one_in: int = ONE_IN) -> Column
 
     def of(h: Column) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (shingle - 1), F.lit(1))), lambda i: F.xxhash64(*(F.get(h, i + (j - 1)) for j in range(shingle))))
-        return _retained(F.array_distinct(each), one_in)
+        return _retained(each, one_in)
 
     # through a one-element array, so that the words are hashed once and not at each use
     return F.transform(F.array(hashed), of)[0]
 
 
 def _retained(hashes: Column, one_in: int) -> Column:
-    """The distinct ``hashes`` below the bound, sorted, or else the least of them."""
+    """The ``hashes`` below the bound, sorted, each once, or else the least of them."""
     last = -(2**63) + 2**64 // one_in - 1
-    ranked = F.array_sort(hashes)
-    below = F.filter(ranked, lambda x: x <= F.lit(last))
-    return F.when(F.size(below) > 0, below).otherwise(F.slice(ranked, 1, 1))
+    low = F.filter(hashes, lambda x: x <= F.lit(last))
+    # through a one-element array, so that they are filtered once
+    return F.transform(F.array(low), lambda x: F.when(F.size(x) > 0, F.array_sort(F.array_distinct(x))).otherwise(F.array(F.array_min(hashes))))[0]
 
 
 def merge(a: Column, b: Column, one_in: int = ONE_IN) -> Column:
