@@ -12,8 +12,9 @@ Equal texts are one node from the start. The texts of a value stand in one sorte
 over tasks by value and text, so that no value is too common for a task. First each is
 compared with the first text of its run. Then, class by class, the texts that are outside the
 main class of a run are compared with all others of it. Runs that hold more than ``REST`` such
-texts have a passage in common and little else: their texts are sketched again under ``more``
-other functions, which find the like among them by what stands outside of the passage.
+texts have a passage in common and little else: of their pairs across classes those are compared
+that share one of their rarest words, a fifth of each text and one. Others cannot be alike, as
+too few words are left to share, so no pair of such a run is lost.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import discard, short_batches, stash
 
 WORDS, BANDS, ORDER, SIMILARITY = 5, 88, 2, 0.8
-#: Functions of the second sketch; texts of a run outside its main class that are compared with the whole run.
-MORE, REST = 128, 32
+#: Texts of a run outside its main class that are compared with the whole run.
+REST = 32
+#: Counters that tell rare words from frequent ones; texts of a word from which on its pairs are counted, with and without values.
+COUNTERS, HOT = 1 << 16, 128
 #: Cells of a sketch, and of an alignment, that are made together.
 CELLS, LANES = 1 << 18, 1 << 16
 #: Rows of small columns for each task of a table that is read again.
@@ -339,11 +342,11 @@ def alike_pairs(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMIL
         some, rest = left[longest[left] >= from_], left[longest[left] < from_]
         ok = [block[_gap(*([form(pairs[i][side]) for i in block] for side in (0, 1)), buckets) <= edits * most[block]] for block in (some[k : k + step] for k in range(0, len(some), step))]
         left = np.concatenate([rest, *ok])
+    inner = [_inner(*pairs[i]) for i in left]
     if len(left):
-        out[left] = anchored_at_most([pairs[i] for i in left]) <= most[left]
-        left = left[~out[left]]
+        out[left] = np.minimum(anchored_at_most(inner), [max(len(a), len(b)) for a, b in inner]) <= most[left]
+        inner, left = [p for p, same in zip(inner, out[left], strict=True) if not same], left[~out[left]]
     if len(left):
-        inner = [_inner(*pairs[i]) for i in left]
         out[left] = aligned_within([(a, b) if len(a) <= len(b) else (b, a) for a, b in inner], most[left])
     return out
 
@@ -435,6 +438,11 @@ def _runs(sketches: DataFrame) -> tuple[DataFrame, int]:
     return cut.where("NOT edge").drop("edge").unionByName(linked), rows
 
 
+def _words_of(b: pa.RecordBatch, col: str = "words") -> list[np.ndarray]:
+    at, flat = b[col].offsets.to_numpy(), b[col].values.to_numpy().view(np.uint32)
+    return [flat[at[i] : at[i + 1]].astype(np.uint64) for i in range(b.num_rows)]
+
+
 def _near(least: float, a: str, b: str):
     """Whether lengths ``a`` and ``b`` allow the likeness."""
     return F.least(a, b) >= least * F.greatest(a, b) - 1e-6
@@ -448,11 +456,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sides = []
-            for c in ("words_a", "words_b"):
-                at, flat = b[c].offsets.to_numpy(), b[c].values.to_numpy().view(np.uint32)
-                sides.append([flat[at[i] : at[i + 1]].astype(np.uint64) for i in range(b.num_rows)])
-            keep = alike_pairs(list(zip(*sides, strict=True)), least)
+            keep = alike_pairs(list(zip(_words_of(b, "words_a"), _words_of(b, "words_b"), strict=True)), least)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long")
@@ -491,7 +495,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _second_looks(runs: DataFrame, n_rows: int, roots: DataFrame, rest: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) across classes in runs of at most ``rest`` texts outside the main class, and (uid) in the other runs."""
+    """Pairs (a, b) across classes in runs of at most ``rest`` texts outside the main class, and (key, uid, root) of the other runs."""
     classed = runs.select("key", "uid", "n").join(roots.hint("merge"), F.col("uid") == F.col("node"), "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("root"))
     rows = stash(_few(classed, n_rows), "classed")
     sizes = _few(rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")), n_rows).groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("c"))
@@ -501,38 +505,92 @@ def _second_looks(runs: DataFrame, n_rows: int, roots: DataFrame, rest: int, lea
     outside = around.where("root <> main").select("key", F.col("uid").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
     both = around.join(outside.hint("merge"), "key").where("root <> root_x AND (root = main OR uid < x)").where(_near(least, "n", "n_x"))
     pairs = both.select(F.least("x", "uid").alias("a"), F.greatest("x", "uid").alias("b"))
-    return _few(pairs, n_rows), _few(rows.join(mixed.where(F.col("others") > rest).select("key").hint("merge"), "key", "left_semi"), n_rows).select("uid").distinct()
+    return _few(pairs, n_rows), _few(rows.join(mixed.where(F.col("others") > rest).select("key").hint("merge"), "key", "left_semi"), n_rows).select("key", "uid", "root")
+
+
+def rarest(words: np.ndarray, seen: np.ndarray, least: float) -> np.ndarray:
+    """The rarest words, rarest first, of which a text of likeness ``least`` has one among its own rarest.
+
+    Words are told apart by how often they occurred before. Alike texts share all words of the
+    longer one but as many as it allows edits; with one more of the first in any order that holds
+    for all texts, each has one that they share. ``seen`` are the counters that make the order.
+    """
+    words_ = labelled_kmers(words, 1)
+    return words_[np.lexsort((words_, seen[words_ >> np.uint64(48)]))[: int((1 - least) * len(words) + 1e-9) + 1]]
+
+
+def _crowd_pairs(crowd: DataFrame, nodes: DataFrame, least: float, hot: int) -> tuple[DataFrame, int]:
+    """Pairs (a, b), and how many, across classes in the runs of ``crowd`` (key, uid, root), but for those whose words exclude the likeness.
 
+    Texts meet by their rarest words. A word of more than ``hot`` texts brings together only
+    those that share a value as well, if that makes fewer pairs. Of two texts that are alike,
+    what follows the first word that they share has to hold nearly all of the longer one.
+    """
+    of = crowd.select("uid", "root").distinct()
+    texts = stash(nodes.select("uid", "words").join(of.hint("merge"), "uid"), "crowded-texts")
+
+    def count(batches):
+        seen = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for w in _words_of(b):
+                np.add.at(seen, (labelled_kmers(w, 1) >> np.uint64(48)).astype(np.int64), 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["at", "n"])
+
+    counted = texts.select("words").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(COUNTERS, np.int64)
+    seen[counted["at"].to_numpy()] = counted["n"].to_numpy()
 
-def near_links(nodes: DataFrame, least: float, order: int, k: int, rest: int = REST, more: int = MORE, bands: int = BANDS) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            words = _words_of(b)
+            first = [rarest(w, seen, least) for w in words]
+            sizes = [len(f) for f in first]
+            whole = np.repeat([len(w) for w in words], sizes)
+            left = whole - np.concatenate([np.arange(k) for k in sizes])
+            uid, root = (np.repeat(b[c].to_numpy(), sizes) for c in ("uid", "root"))
+            word = np.concatenate(first).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (word, uid, root, whole, left)], ["word", "uid", "root", "n", "left"])
+
+    words = stash(texts.mapInArrow(run, "word long, uid long, root long, n long, left long"), "rare-words")
+    discard(texts)
+    use = words.groupBy("word").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("word", "c")
+    used = stash(words.join(use.hint("merge"), "word"), "used-words")
+    values = crowd.select("uid", "key")
+    by_value = used.where(F.col("c") > hot).join(values.hint("merge"), "uid").groupBy("word", "key").agg(F.count(F.lit(1)).cast("double").alias("k"), F.first("c").cast("double").alias("c"))
+    fewer = stash(by_value.groupBy("word").agg(F.sum(F.col("k") * F.col("k")).alias("k"), F.first("c").alias("c")).where("k < c * c").select("word", F.lit(True).alias("fewer")), "valued-words")
+    marked = used.drop("c").join(fewer.hint("merge"), "word", "left")
+    valued = marked.where("fewer").join(values.hint("merge"), "uid").withColumn("word", F.xxhash64("word", "key"))
+    slots = marked.where("fewer IS NULL").select(words.columns).unionByName(valued.select(words.columns))
+    one, other = (slots.select("word", *(F.col(c).alias(f"{c}_{side}") for c in ("uid", "root", "n", "left"))) for side in "ab")
+    met = one.join(other.hint("merge"), "word").where("uid_a < uid_b AND root_a <> root_b").where(F.least("left_a", "left_b") >= least * F.greatest("n_a", "n_b") - 1e-6)
+    pairs, n = _counted(met.select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct(), "crowd-pairs")
+    discard(words, used, fewer)
+    return pairs, n
+
+
+def near_links(nodes: DataFrame, least: float, rest: int = REST, hot: int = HOT) -> DataFrame:
     """(node, root) of the linked among ``nodes`` (uid, n, words, sketch), each a distinct text."""
-    star = lambda runs: runs.where("uid <> head").where(_near(least, "n", "head_n")).select(F.least("head", "uid").alias("a"), F.greatest("head", "uid").alias("b"))
     runs, n = _runs(nodes.select("uid", "n", "sketch"))
-    asked, n_asked = _counted(_few(star(runs), n).distinct(), "pairs", n)
+    star = runs.where("uid <> head").where(_near(least, "n", "head_n")).select(F.least("head", "uid").alias("a"), F.greatest("head", "uid").alias("b"))
+    asked, n_asked = _counted(_few(star, n).distinct(), "pairs", n)
     found = stash(_verified(asked, nodes, least), "links")
     roots = components(found)
-    pairs, crowded = _second_looks(runs, n, roots, rest, least)
-    crowded, n_crowded = _counted(crowded, "crowded", n)
-    if n_crowded:
-
-        def run(batches):
-            for b in batches:
-                at, flat = b["words"].offsets.to_numpy(), b["words"].values.to_numpy().view(np.uint32)
-                sketch = [order_sketch(flat[at[i] : at[i + 1]].astype(np.uint64), more, order, k, bands) for i in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays([b["uid"], b["n"], _lists(sketch, np.int64)], ["uid", "n", "sketch"])
-
-        again = nodes.select("uid", "n", "words").join(crowded.hint("merge"), "uid", "left_semi").mapInArrow(run, "uid long, n long, sketch array<long>")
-        runs_again, m = _runs(stash(again, "sketches-again"))
-        pairs = pairs.unionByName(_second_looks(runs_again, m, roots, rest, least)[0]).unionByName(_few(star(runs_again), m))
-        n += m
+    pairs, crowd = _second_looks(runs, n, roots, rest, least)
+    crowd, n_crowd = _counted(crowd, "crowd", n)
+    if n_crowd:
+        met, m = _crowd_pairs(crowd, nodes, least, hot)
+        pairs, n = pairs.unionByName(met), n + m
     pairs = _few(pairs.distinct(), n).join(asked.hint("merge"), ["a", "b"], "left_anti")
     pairs, _ = _counted(pairs, "pairs", n)
     links = stash(_verified(pairs, nodes, least), "links")
-    discard(asked, crowded, pairs)
+    discard(asked, crowd, pairs)
     return components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, bands: int = BANDS, order: int = ORDER, similarity: float = SIMILARITY, rest: int = REST, more: int = MORE) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, bands: int = BANDS, order: int = ORDER, similarity: float = SIMILARITY, rest: int = REST, hot: int = HOT) -> DataFrame:
     """(doc_id, node, root, class_id) of every row: rows of one class are connected by likeness.
 
     ``node`` is the MD5 of the text, ``root`` tells classes apart, ``class_id`` is the smallest
@@ -540,13 +598,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Texts with fewer than ``k`` words have one k-mer. Repeated rows are rows of one class; an
     empty table gives none. Only the two named columns are read, so others cannot clash.
 
-    Pairs are found with a chance that grows with their likeness: with the defaults, of pairs
+    All texts of different classes that share a value are compared, unless their words exclude
+    the likeness. Pairs share one with a chance that grows with their likeness: with the defaults, of pairs
     of 200 words with changes at random places, more than 0.9 at a likeness of 0.8 and all but
     one in 10,000 from 0.88 on.
     """
     short_batches(docs.sparkSession)
     nodes, n = _counted(_nodes(docs, id_col, text_col, bands, order, k), "nodes")
-    roots = near_links(nodes, similarity, order, k, rest, more, bands)
+    roots = near_links(nodes, similarity, rest, hot)
     placed = nodes.select("uid", F.col("node").alias("md5"), "least").join(roots.hint("merge"), F.col("uid") == F.col("node"), "left").select("md5", "least", F.coalesce("root", "uid").alias("root"))
     placed = stash(_few(placed, n), "placed")
     discard(nodes)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from echofold.llm.order_minhash import _runs, BANDS, anchored_at_most, alike, alike_pairs, banded_distance, components, edit_similarity, keep_one, labelled_kmers, near_duplicates, order_sketch, word_hashes
+from echofold.llm.order_minhash import _runs, BANDS, anchored_at_most, alike, alike_pairs, banded_distance, components, edit_similarity, keep_one, labelled_kmers, near_duplicates, order_sketch, rarest, word_hashes
 
 
 def levenshtein(a, b):
@@ -228,3 +228,39 @@ def test_equal_ids_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, node string, uid long")
     kept = keep_one(df)
     assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "a b c", "x", 2), (1, "other words here", "z", 3)]
+
+
+def passage_and_few_words(pairs=40):
+    """Texts of a passage of 120 words and 40 of their own, of which two at a time have every fourth in common: alike, though they share no run outside of the passage."""
+    r = random.Random(31)
+    vocabulary = [f"v{i}" for i in range(600)]
+    shared = [r.choice(vocabulary) for _ in range(120)]
+    texts = []
+    for _ in range(pairs):
+        own = [r.choice(vocabulary) for _ in range(40)]
+        texts += [" ".join(shared + own), " ".join(shared + [w if i % 4 == 3 else r.choice(vocabulary) for i, w in enumerate(own)])]
+    return texts
+
+
+@pytest.mark.parametrize("options", [{"rest": 2}, {"rest": 2, "hot": 1}])
+def test_no_like_is_lost_among_many_texts_of_a_passage(spark, options):
+    texts = passage_and_few_words()
+    want = classes_by_brute_force(texts)
+    assert len(set(want)) == 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_duplicates(df, **options).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_alike_texts_share_one_of_their_rarest_words():
+    r = random.Random(6)
+    seen = np.array([r.randrange(50) for _ in range(1 << 16)])
+    n = 0
+    for vocabulary, longest in ((3, 20), (60, 90), (4000, 400)):
+        for _ in range(300):
+            a = [r.randrange(vocabulary) for _ in range(r.randint(1, longest))]
+            a, b = (np.array(x, np.uint64) for x in (a, edited(r, a, int(r.uniform(0, 0.3) * len(a)), range(vocabulary))))
+            if alike(a, b):
+                n += 1
+                assert set(rarest(a, seen, 0.8).tolist()) & set(rarest(b, seen, 0.8).tolist())
+    assert n > 400
