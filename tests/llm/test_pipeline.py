@@ -12,6 +12,8 @@ from echofold.llm.line_dedup import line_key
 from echofold.llm.order_minhash import alike_pairs, word_hashes
 from echofold.llm.registry import ORACLE_SQL, QUERIES
 
+from .test_order_minhash import passage_and_few_words
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -67,3 +69,10 @@ def test_odd_tables_pass_every_stage(spark, tmp_path):
                 assert all((r["size"], r.shard, r.text_id, r.taken, r.row) == (1, "s", "t", 7, 3) for r in now.collect())
         assert "ids_sha256" in now.columns and (k == 0 or now.count() == 0)
     assert corpus_pipeline.run(spark, f"{tmp_path}/1").count() == 0
+
+
+def test_near_stage_keeps_one_of_each_pair_among_many_texts_of_a_passage(spark):
+    texts = passage_and_few_words(400)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect())
+    assert kept == list(range(0, len(texts), 2))
