@@ -14,7 +14,8 @@ compared with the first text of its run. Then, class by class, the texts that ar
 main class of a run are compared with all others of it. Runs that hold more than ``REST`` such
 texts have a passage in common and little else: of their pairs across classes those are compared
 that share one of their rarest words, a fifth of each text and one. Others cannot be alike, as
-too few words are left to share, so no pair of such a run is lost.
+too few words are left to share, so no pair of such a run is lost. Pairs are made
+where parities of the counts of all their words allow the likeness, mostly at one of their words.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ WORDS, BANDS, ORDER, SIMILARITY = 5, 88, 2, 0.8
 REST = 32
 #: Counters that tell rare words from frequent ones; texts of a word from which on its pairs are counted, with and without values.
 COUNTERS, HOT = 1 << 16, 128
+#: Longs of a text's parities; its last words, and least values, by which a pair is told to meet at another one.
+PARITIES, LATER = 16, 64
 #: Cells of a sketch, and of an alignment, that are made together.
 CELLS, LANES = 1 << 18, 1 << 16
 #: Rows of small columns for each task of a table that is read again.
@@ -519,12 +522,23 @@ def rarest(words: np.ndarray, seen: np.ndarray, least: float) -> np.ndarray:
     return words_[np.lexsort((words_, seen[words_ >> np.uint64(48)]))[: int((1 - least) * len(words) + 1e-9) + 1]]
 
 
+def parities(words: np.ndarray, longs: int = PARITIES) -> np.ndarray:
+    """A bit for each of 64 * ``longs`` buckets: whether it has an odd number of the labelled words.
+
+    Bits that differ between two texts are at most the words that one has and the other lacks.
+    """
+    odd = np.bincount((labelled_kmers(words, 1) % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _crowd_pairs(crowd: DataFrame, nodes: DataFrame, least: float, hot: int) -> tuple[DataFrame, int]:
     """Pairs (a, b), and how many, across classes in the runs of ``crowd`` (key, uid, root), but for those whose words exclude the likeness.
 
     Texts meet by their rarest words. A word of more than ``hot`` texts brings together only
-    those that share a value as well, if that makes fewer pairs. Of two texts that are alike,
-    what follows the first word that they share has to hold nearly all of the longer one.
+    those that share a value as well, if that makes fewer pairs. Pairs of which one lacks too
+    many words of the other, as told by parities, are not made. A pair that shares one of the last
+    ``LATER`` of such words of both is not made at the words before it, and likewise for values:
+    it is always made at its last word and, if asked for, its least value.
     """
     of = crowd.select("uid", "root").distinct()
     texts = stash(nodes.select("uid", "words").join(of.hint("merge"), "uid"), "crowded-texts")
@@ -541,6 +555,8 @@ def _crowd_pairs(crowd: DataFrame, nodes: DataFrame, least: float, hot: int) ->
     seen = np.zeros(COUNTERS, np.int64)
     seen[counted["at"].to_numpy()] = counted["n"].to_numpy()
 
+    odd = [f"odd{i}" for i in range(PARITIES)]
+
     def run(batches):
         for b in batches:
             if not b.num_rows:
@@ -549,25 +565,44 @@ def _crowd_pairs(crowd: DataFrame, nodes: DataFrame, least: float, hot: int) ->
             first = [rarest(w, seen, least) for w in words]
             sizes = [len(f) for f in first]
             whole = np.repeat([len(w) for w in words], sizes)
-            left = whole - np.concatenate([np.arange(k) for k in sizes])
+            place = np.concatenate([np.arange(k) for k in sizes])
             uid, root = (np.repeat(b[c].to_numpy(), sizes) for c in ("uid", "root"))
             word = np.concatenate(first).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (word, uid, root, whole, left)], ["word", "uid", "root", "n", "left"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (word, uid, root, whole, place)], ["word", "uid", "root", "n", "place"])
+
+    def mark(batches):
+        for b in batches:
+            words = _words_of(b)
+            bits = np.array([parities(w) for w in words], np.int64).reshape(-1, PARITIES)
+            yield pa.RecordBatch.from_arrays([b["uid"], *(pa.array(x) for x in bits.T)], ["uid", *odd])
 
-    words = stash(texts.mapInArrow(run, "word long, uid long, root long, n long, left long"), "rare-words")
-    discard(texts)
+    words = stash(texts.mapInArrow(run, "word long, uid long, root long, n long, place long"), "rare-words")
     use = words.groupBy("word").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("word", "c")
     used = stash(words.join(use.hint("merge"), "word"), "used-words")
-    values = crowd.select("uid", "key")
+    marks = stash(texts.mapInArrow(mark, "uid long, " + ", ".join(f"{c} long" for c in odd)), "marks")
+    discard(texts, words)
+    values = crowd.select("uid", "key").distinct()
     by_value = used.where(F.col("c") > hot).join(values.hint("merge"), "uid").groupBy("word", "key").agg(F.count(F.lit(1)).cast("double").alias("k"), F.first("c").cast("double").alias("c"))
     fewer = stash(by_value.groupBy("word").agg(F.sum(F.col("k") * F.col("k")).alias("k"), F.first("c").alias("c")).where("k < c * c").select("word", F.lit(True).alias("fewer")), "valued-words")
-    marked = used.drop("c").join(fewer.hint("merge"), "word", "left")
-    valued = marked.where("fewer").join(values.hint("merge"), "uid").withColumn("word", F.xxhash64("word", "key"))
-    slots = marked.where("fewer IS NULL").select(words.columns).unionByName(valued.select(words.columns))
-    one, other = (slots.select("word", *(F.col(c).alias(f"{c}_{side}") for c in ("uid", "root", "n", "left"))) for side in "ab")
-    met = one.join(other.hint("merge"), "word").where("uid_a < uid_b AND root_a <> root_b").where(F.least("left_a", "left_b") >= least * F.greatest("n_a", "n_b") - 1e-6)
+    lasts = used.groupBy("uid").agg(F.expr(f"slice(sort_array(collect_list(struct(place, word)), false), 1, {LATER})").alias("lasts"))
+    whole = used.drop("c").join(marks.join(lasts.hint("merge"), "uid").hint("merge"), "uid")
+    whole = whole.withColumn("words", F.expr("transform(filter(lasts, x -> x.place > place), x -> x.word)"))
+    marked = whole.select("word", "uid", "root", "n", "words", *odd).join(fewer.hint("merge"), "word", "left")
+    none = F.array().cast("array<long>")
+    smallest = values.groupBy("uid").agg(F.expr(f"slice(sort_array(collect_list(key)), 1, {LATER})").alias("smallest"))
+    valued = marked.where("fewer").join(values.join(smallest.hint("merge"), "uid").hint("merge"), "uid")
+    valued = valued.withColumn("word", F.xxhash64("word", "key")).withColumn("values", F.expr("filter(smallest, x -> x < key)"))
+    plain = marked.where("fewer IS NULL").withColumn("values", none)
+    columns = ["word", "uid", "root", "n", "words", "values", *odd]
+    slots = plain.select(columns).unionByName(valued.select(columns))
+    one, other = (slots.select("word", *(F.col(c).alias(f"{c}_{side}") for c in columns[1:])) for side in "ab")
+    longer, differ = F.greatest("n_a", "n_b"), sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in odd), F.lit(0))
+    edits = F.floor((1 - least) * longer + 1e-9)
+    met = one.join(other.hint("merge"), "word").where("uid_a < uid_b AND root_a <> root_b").where(_near(least, "n_a", "n_b"))
+    met = met.where(differ <= F.col("n_a") + F.col("n_b") - 2 * (longer - edits))
+    met = met.where(~F.arrays_overlap("words_a", "words_b") & ~F.arrays_overlap("values_a", "values_b"))
     pairs, n = _counted(met.select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct(), "crowd-pairs")
-    discard(words, used, fewer)
+    discard(used, marks, fewer)
     return pairs, n
 
 

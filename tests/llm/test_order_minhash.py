@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from echofold.llm.order_minhash import _runs, BANDS, anchored_at_most, alike, alike_pairs, banded_distance, components, edit_similarity, keep_one, labelled_kmers, near_duplicates, order_sketch, rarest, word_hashes
+from echofold.llm.order_minhash import _crowd_pairs, _runs, BANDS, anchored_at_most, alike, alike_pairs, banded_distance, components, edit_similarity, keep_one, labelled_kmers, near_duplicates, order_sketch, parities, rarest, word_hashes
 
 
 def levenshtein(a, b):
@@ -264,3 +264,29 @@ def test_alike_texts_share_one_of_their_rarest_words():
                 n += 1
                 assert set(rarest(a, seen, 0.8).tolist()) & set(rarest(b, seen, 0.8).tolist())
     assert n > 400
+
+
+def test_texts_that_share_a_rare_word_only_do_not_meet(spark):
+    rng = random.Random(23)
+    word = lambda: f"w{rng.randrange(600)}"
+    passage = [word() for _ in range(40)]
+    texts = [[*passage, *(word() for _ in range(58)), f"tag{i % 4}", f"mark{i % 6}"] for i in range(240)]
+    for i in range(0, 40, 2):  # alike, and not at its ends
+        texts[i + 1] = [*texts[i][:50], *(word() for _ in range(12)), *texts[i][62:]]
+    hashes = [word_hashes(" ".join(t)) for t in texts]
+    nodes = spark.createDataFrame([(i, h.astype("uint32").view("int32").tolist()) for i, h in enumerate(hashes)], "uid long, words array<int>")
+    crowd = spark.createDataFrame([(key, i, i) for i in range(len(texts)) for key in (1, 2)], "key long, uid long, root long")
+    for hot in (2, 128):
+        pairs, n = _crowd_pairs(crowd, nodes, 0.8, hot)
+        found = {(r["a"], r["b"]) for r in pairs.collect()}
+        assert {(i, i + 1) for i in range(0, 40, 2)} <= found
+        assert n == len(found) <= 40  # thousands share one of their rarest words
+
+
+def test_parities_differ_by_no_more_than_the_words_that_differ():
+    rng = random.Random(24)
+    for n in (0, 1, 30, 300, 3000):
+        a = word_hashes(" ".join(f"w{rng.randrange(n + 1)}" for _ in range(n)))
+        b = word_hashes(" ".join(f"w{rng.randrange(n + 1)}" for _ in range(n)))
+        differ = len(set(labelled_kmers(a, 1).tolist()) ^ set(labelled_kmers(b, 1).tolist()))
+        assert int(np.bitwise_count((parities(a) ^ parities(b)).view(np.uint64)).sum()) <= differ
