@@ -40,7 +40,7 @@ LEAF = 2_048
 class _Tokens(dict):
     """piece -> (its ids, its ids as text): filled as pieces are met, emptied when it has grown too large."""
 
-    def __init__(self, encode_piece, most: int = 400_000):
+    def __init__(self, encode_piece, most: int = 1 << 16):
         self.encode_piece, self.most = encode_piece, most
 
     def __missing__(self, piece: str) -> tuple[tuple[int, ...], str]:

@@ -34,6 +34,8 @@ REST = 32
 COUNTERS, HOT = 1 << 16, 128
 #: Longs of a text's parities; its last words, and least values, by which a pair is told to meet at another one.
 PARITIES, LATER = 16, 64
+#: Words of texts that are anchored together.
+ANCHORED = 1 << 18
 #: Cells of a sketch, and of an alignment, that are made together.
 CELLS, LANES = 1 << 18, 1 << 16
 #: Rows of small columns for each task of a table that is read again.
@@ -329,6 +331,17 @@ def aligned_within(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray)
     return out
 
 
+def _blocks(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Ends of consecutive blocks of at most ``most`` together, or of one that is larger."""
+    starts, total = [0], 0
+    for i, size in enumerate(sizes):
+        if total and total + size > most:
+            starts.append(i)
+            total = 0
+        total += size
+    return list(zip(starts, [*starts[1:], len(sizes)], strict=True))
+
+
 def alike_pairs(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMILARITY) -> np.ndarray:
     """For each pair of word hashes whether 1 - distance / the longer length is at least ``least``.
 
@@ -347,7 +360,8 @@ def alike_pairs(pairs: list[tuple[np.ndarray, np.ndarray]], least: float = SIMIL
         left = np.concatenate([rest, *ok])
     inner = [_inner(*pairs[i]) for i in left]
     if len(left):
-        out[left] = np.minimum(anchored_at_most(inner), [max(len(a), len(b)) for a, b in inner]) <= most[left]
+        at_most = np.concatenate([anchored_at_most(inner[i:j]) for i, j in _blocks([len(a) + len(b) for a, b in inner], ANCHORED)])
+        out[left] = np.minimum(at_most, [max(len(a), len(b)) for a, b in inner]) <= most[left]
         inner, left = [p for p, same in zip(inner, out[left], strict=True) if not same], left[~out[left]]
     if len(left):
         out[left] = aligned_within([(a, b) if len(a) <= len(b) else (b, a) for a, b in inner], most[left])

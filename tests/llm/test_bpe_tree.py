@@ -1,9 +1,10 @@
 import hashlib
+import tracemalloc
 
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
-from echofold.llm.bpe_tree import codec, decode_documents, encode_documents, token_digests
+from echofold.llm.bpe_tree import _Tokens, codec, decode_documents, encode_documents, token_digests
 
 ALPHABET = st.text(alphabet=" \n\t  a'srelvdmlx1!é世　’́😀", max_size=80)
 
@@ -43,3 +44,13 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert token_digests(df.limit(0)).count() == 0
     both = decode_documents(encode_documents(df.withColumnRenamed("n_tokens", "token_ids")))
     assert sorted(bytes(r.decoded) for r in both.collect()) == [b"", b"", b"", b"hi there"] and both.columns == ["doc_id", "text", "token_ids", "decoded"]
+
+
+def test_pieces_held_take_little_memory():
+    tokens = _Tokens(lambda piece: [300 + i for i in range(len(piece))])
+    tracemalloc.start()
+    for i in range(300_000):
+        assert tokens[f"piece{i}"][0][0] == 300
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20

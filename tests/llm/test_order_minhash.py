@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -290,3 +291,18 @@ def test_parities_differ_by_no_more_than_the_words_that_differ():
         b = word_hashes(" ".join(f"w{rng.randrange(n + 1)}" for _ in range(n)))
         differ = len(set(labelled_kmers(a, 1).tolist()) ^ set(labelled_kmers(b, 1).tolist()))
         assert int(np.bitwise_count((parities(a) ^ parities(b)).view(np.uint64)).sum()) <= differ
+
+
+def test_many_alignments_take_little_memory():
+    r = np.random.default_rng(25)
+    pairs = []
+    for _ in range(6_000):
+        a = r.integers(0, 1 << 32, 200, dtype=np.uint64)
+        b = a.copy()
+        b[[0, 60, 120, 199]] = r.integers(0, 1 << 32, 4, dtype=np.uint64)
+        pairs.append((a, b))
+    tracemalloc.start()
+    assert alike_pairs(pairs).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
