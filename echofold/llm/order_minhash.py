@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import discard, short_batches, stash
+from .common import discard, partitions, short_batches, stash
 
 WORDS, BANDS, ORDER, SIMILARITY = 5, 88, 2, 0.8
 #: Texts of a run outside its main class that are compared with the whole run.
@@ -34,6 +34,8 @@ REST = 32
 COUNTERS, HOT = 1 << 16, 128
 #: Longs of a text's parities; its last words, and least values, by which a pair is told to meet at another one.
 PARITIES, LATER = 16, 64
+#: Words of the runs by which texts without any partner are told, and runs of words that a task looks at together.
+RUN, PART = 2, 1 << 20
 #: Words of texts that are anchored together.
 ANCHORED = 1 << 18
 #: Cells of a sketch, and of an alignment, that are made together.
@@ -545,6 +547,84 @@ def parities(words: np.ndarray, longs: int = PARITIES) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def lost_share(k: int, least: float) -> float:
+    """How many runs of ``k`` words a text has at most that one of likeness ``least`` lacks, as a share of its words.
+
+    A change or a removal costs ``k`` runs, an added word ``k - 1``: a longer text allows more
+    edits, but as many of them are additions as it is longer.
+    """
+    each = k * (1 - least)
+    return each + max(0.0, each - 1) * (1 / least - 1)
+
+
+def lone_runs(kmers: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """For each of ``kmers``, found in a text of class ``roots``, whether no other class has it."""
+    by = np.argsort(kmers, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], kmers[by][1:] != kmers[by][:-1]]))
+    low, high = (f.reduceat(roots[by], starts) for f in (np.minimum, np.maximum))
+    out = np.empty(len(kmers), bool)
+    out[by] = np.repeat(low == high, np.diff(np.append(starts, len(by))))
+    return out
+
+
+def _partnered(texts: DataFrame, sizes: tuple[int, int], least: float) -> tuple[DataFrame, tuple[int, int]]:
+    """Those of ``texts`` (uid, words, root) that may be alike one of another class, and ``sizes``: how many, and of how many words.
+
+    A text of which all other classes together lack more runs of ``RUN`` words than the likeness
+    allows is alike none of them. Runs are sent in arrays by their hash; those that several
+    classes of a batch have go once, without their texts, so that no run is too common for a task.
+    What is left is looked at again, as long as a fourth or more of it goes.
+    """
+    while sizes[0]:
+        parts = max(sizes[1] // PART + 1, partitions(texts.sparkSession))
+
+        def spread(batches, parts=parts):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                runs = [labelled_kmers(w, RUN) for w in _words_of(b)]
+                uid, root = (np.repeat(b[c].to_numpy(), [len(r) for r in runs]) for c in ("uid", "root"))
+                runs = np.concatenate(runs)
+                lone = lone_runs(runs, root)
+                shared, at = np.unique(runs[~lone], return_index=True)
+                low, at_other = root[~lone][at], np.full(len(shared), -1)
+                # another class of the batch than the first one's, for runs that several have
+                differs = np.flatnonzero(~lone)[root[~lone] != low[np.searchsorted(shared, runs[~lone])]]
+                at_other[np.searchsorted(shared, runs[differs])] = differs
+                runs = np.concatenate([runs[lone], shared, shared])
+                root = np.concatenate([root[lone], low, root[at_other]])
+                uid = np.concatenate([uid[lone], np.full(2 * len(shared), -1)])
+                part = (runs % np.uint64(parts)).astype(np.int64)
+                by = np.argsort(part, kind="stable")
+                has, start = np.unique(part[by], return_index=True)
+                ends = pa.array(np.append(start, len(by)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(has), *(pa.ListArray.from_arrays(ends, pa.array(x[by].view(np.int64))) for x in (runs, uid, root))], ["part", "runs", "uids", "roots"])
+
+        def lacking(table: pa.Table) -> pa.Table:
+            runs, uid, root = (np.concatenate([c.flatten().to_numpy() for c in table[name].chunks]) for name in ("runs", "uids", "roots"))
+            lone, n = np.unique(uid[lone_runs(runs, root) & (uid >= 0)], return_counts=True)
+            return pa.table({"node": pa.array(lone, pa.int64()), "lacks": pa.array(n, pa.int64())})
+
+        sent = texts.mapInArrow(spread, "part long, runs array<long>, uids array<long>, roots array<long>")
+        lacks = sent.groupBy("part").applyInArrow(lacking, "node long, lacks long").groupBy("node").agg(F.sum("lacks").alias("lacks"))
+        bound = F.floor(F.size("words") * lost_share(RUN, least) + 1e-9)
+        left = texts.join(lacks.hint("merge"), F.col("uid") == F.col("node"), "left").where(F.coalesce("lacks", F.lit(0)) <= bound)
+        before = sizes[0]
+        left, sizes = _sized(left.select("uid", "words", "root"), "partnered-texts")
+        discard(texts)
+        texts = left
+        if 4 * sizes[0] > 3 * before:
+            break
+    return texts, sizes
+
+
+def _sized(texts: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int]]:
+    """``texts`` stashed, how many they are, and how many words they have."""
+    seen = Observation()
+    out = stash(texts.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words")), name)
+    return out, (seen.get["n"], seen.get["words"])
+
+
 def _crowd_pairs(crowd: DataFrame, nodes: DataFrame, least: float, hot: int) -> tuple[DataFrame, int]:
     """Pairs (a, b), and how many, across classes in the runs of ``crowd`` (key, uid, root), but for those whose words exclude the likeness.
 
@@ -555,7 +635,9 @@ def _crowd_pairs(crowd: DataFrame, nodes: DataFrame, least: float, hot: int) ->
     it is always made at its last word and, if asked for, its least value.
     """
     of = crowd.select("uid", "root").distinct()
-    texts = stash(nodes.select("uid", "words").join(of.hint("merge"), "uid"), "crowded-texts")
+    texts, sizes = _sized(nodes.select("uid", "words").join(of.hint("merge"), "uid"), "crowded-texts")
+    texts, _ = _partnered(texts, sizes, least)
+    values = stash(crowd.select("uid", "key").join(texts.select("uid").hint("merge"), "uid", "left_semi").distinct(), "crowd-values")
 
     def count(batches):
         seen = np.zeros(COUNTERS, np.int64)
@@ -595,7 +677,6 @@ def _crowd_pairs(crowd: DataFrame, nodes: DataFrame, least: float, hot: int) ->
     used = stash(words.join(use.hint("merge"), "word"), "used-words")
     marks = stash(texts.mapInArrow(mark, "uid long, " + ", ".join(f"{c} long" for c in odd)), "marks")
     discard(texts, words)
-    values = crowd.select("uid", "key").distinct()
     by_value = used.where(F.col("c") > hot).join(values.hint("merge"), "uid").groupBy("word", "key").agg(F.count(F.lit(1)).cast("double").alias("k"), F.first("c").cast("double").alias("c"))
     fewer = stash(by_value.groupBy("word").agg(F.sum(F.col("k") * F.col("k")).alias("k"), F.first("c").alias("c")).where("k < c * c").select("word", F.lit(True).alias("fewer")), "valued-words")
     lasts = used.groupBy("uid").agg(F.expr(f"slice(sort_array(collect_list(struct(place, word)), false), 1, {LATER})").alias("lasts"))
@@ -616,7 +697,7 @@ def _crowd_pairs(crowd: DataFrame, nodes: DataFrame, least: float, hot: int) ->
     met = met.where(differ <= F.col("n_a") + F.col("n_b") - 2 * (longer - edits))
     met = met.where(~F.arrays_overlap("words_a", "words_b") & ~F.arrays_overlap("values_a", "values_b"))
     pairs, n = _counted(met.select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct(), "crowd-pairs")
-    discard(used, marks, fewer)
+    discard(used, marks, fewer, values)
     return pairs, n
 
 

@@ -4,7 +4,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from echofold.llm.order_minhash import _crowd_pairs, _runs, BANDS, anchored_at_most, alike, alike_pairs, banded_distance, components, edit_similarity, keep_one, labelled_kmers, near_duplicates, order_sketch, parities, rarest, word_hashes
+from echofold.llm.order_minhash import _crowd_pairs, _runs, BANDS, anchored_at_most, alike, alike_pairs, banded_distance, components, edit_similarity, keep_one, labelled_kmers, lone_runs, lost_share, near_duplicates, order_sketch, parities, rarest, word_hashes
 
 
 def levenshtein(a, b):
@@ -306,3 +306,73 @@ def test_many_alignments_take_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 64 << 20
+
+
+def test_alike_texts_lack_few_runs_of_each_other():
+    r = random.Random(26)
+    for k in (1, 2, 3):
+        n = 0
+        for vocabulary, longest in ((3, 20), (60, 90), (4000, 400)):
+            for _ in range(200):
+                a = [r.randrange(vocabulary) for _ in range(r.randint(k, longest))]
+                a, b = (np.array(x, np.uint64) for x in (a, edited(r, a, int(r.uniform(0, 0.3) * len(a)), range(vocabulary))))
+                if min(len(a), len(b)) >= k and alike(a, b):
+                    n += 1
+                    for x, y in ((a, b), (b, a)):
+                        assert len(set(labelled_kmers(x, k).tolist()) - set(labelled_kmers(y, k).tolist())) <= int(lost_share(k, 0.8) * len(x) + 1e-9)
+        assert n > 250
+    assert lone_runs(np.array([5, 7, 5, 9, 7], np.int64), np.array([1, 2, 1, 3, 4])).tolist() == [True, False, True, True, False]
+
+
+def crowd_of(spark, texts, keys):
+    hashes = [word_hashes(" ".join(t)) for t in texts]
+    nodes = spark.createDataFrame([(i, h.astype("uint32").view("int32").tolist()) for i, h in enumerate(hashes)], "uid long, words array<int>")
+    return spark.createDataFrame([(key, i, i) for i in range(len(texts)) for key in keys], "key long, uid long, root long"), nodes
+
+
+def stashed(monkeypatch):
+    import echofold.llm.order_minhash as m
+
+    seen, stash = {}, m.stash
+
+    def counted(df, name):
+        out = stash(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(m, "stash", counted)
+    return seen
+
+
+def test_texts_without_a_partner_bring_no_words(spark, monkeypatch):
+    rng = random.Random(27)
+    word = lambda: f"w{rng.randrange(600)}"
+    passage = [word() for _ in range(30)]
+    texts = [[*passage, *(word() for _ in range(70))] for _ in range(400)]
+    for i in range(0, 20, 2):
+        texts[i + 1] = [*texts[i][:50], *(word() for _ in range(14)), *texts[i][64:]]
+    crowd, nodes = crowd_of(spark, texts, (1, 2))
+    seen = stashed(monkeypatch)
+    pairs, n = _crowd_pairs(crowd, nodes, 0.8, 128)
+    assert {(i, i + 1) for i in range(0, 20, 2)} <= {(r["a"], r["b"]) for r in pairs.collect()}
+    assert seen["rare-words"] <= 21 * 60  # 21 of each of 400 texts before
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_classes_of_a_crowd_keep_their_partners(spark, batch):
+    # classes in any batches: runs that only texts of one class have count as lacked, those of two do not
+    rng = random.Random(28)
+    base = [[f"w{rng.randrange(300)}" for _ in range(60)] for _ in range(12)]
+    texts = [edited(rng, b, 4, ["x", "y"]) for b in base for _ in range(4)]
+    crowd, nodes = crowd_of(spark, texts, (1,))
+    crowd = crowd.selectExpr("key", "uid", "CASE WHEN uid % 4 < 2 THEN uid - uid % 4 WHEN uid < 24 THEN uid ELSE uid - uid % 4 END AS root")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        pairs, _ = _crowd_pairs(crowd, nodes, 0.8, 128)
+        got = {(r["a"], r["b"]) for r in pairs.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    roots = {r["uid"]: r["root"] for r in crowd.collect()}
+    hashes = [word_hashes(" ".join(t)) for t in texts]
+    like = {(i, j) for j in range(len(texts)) for i in range(j) if roots[i] != roots[j] and alike(hashes[i], hashes[j])}
+    assert like and like <= got and all(j < 24 for _, j in got)
