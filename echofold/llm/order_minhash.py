@@ -677,7 +677,11 @@ def _crowd_pairs(crowd: DataFrame, nodes: DataFrame, least: float, hot: int) ->
     used = stash(words.join(use.hint("merge"), "word"), "used-words")
     marks = stash(texts.mapInArrow(mark, "uid long, " + ", ".join(f"{c} long" for c in odd)), "marks")
     discard(texts, words)
-    by_value = used.where(F.col("c") > hot).join(values.hint("merge"), "uid").groupBy("word", "key").agg(F.count(F.lit(1)).cast("double").alias("k"), F.first("c").cast("double").alias("c"))
+    # of the words' texts and values, squares sum up to no less than those of even parts
+    kinds, each = values.select("key").distinct().count(), values.groupBy("uid").agg(F.count(F.lit(1)).alias("v"))
+    hots = used.where(F.col("c") > hot).join(each.hint("merge"), "uid").groupBy("word").agg(F.sum("v").cast("double").alias("v"), F.first("c").cast("double").alias("c"))
+    maybe = stash(hots.where(F.col("v") * F.col("v") < F.col("c") * F.col("c") * kinds).select("word"), "maybe-valued")
+    by_value = used.join(maybe.hint("merge"), "word", "left_semi").join(values.hint("merge"), "uid").groupBy("word", "key").agg(F.count(F.lit(1)).cast("double").alias("k"), F.first("c").cast("double").alias("c"))
     fewer = stash(by_value.groupBy("word").agg(F.sum(F.col("k") * F.col("k")).alias("k"), F.first("c").alias("c")).where("k < c * c").select("word", F.lit(True).alias("fewer")), "valued-words")
     lasts = used.groupBy("uid").agg(F.expr(f"slice(sort_array(collect_list(struct(place, word)), false), 1, {LATER})").alias("lasts"))
     whole = used.drop("c").join(marks.join(lasts.hint("merge"), "uid").hint("merge"), "uid")
@@ -697,7 +701,7 @@ def _crowd_pairs(crowd: DataFrame, nodes: DataFrame, least: float, hot: int) ->
     met = met.where(differ <= F.col("n_a") + F.col("n_b") - 2 * (longer - edits))
     met = met.where(~F.arrays_overlap("words_a", "words_b") & ~F.arrays_overlap("values_a", "values_b"))
     pairs, n = _counted(met.select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct(), "crowd-pairs")
-    discard(used, marks, fewer, values)
+    discard(used, marks, maybe, fewer, values)
     return pairs, n
 
 

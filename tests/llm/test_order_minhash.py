@@ -376,3 +376,16 @@ def test_classes_of_a_crowd_keep_their_partners(spark, batch):
     hashes = [word_hashes(" ".join(t)) for t in texts]
     like = {(i, j) for j in range(len(texts)) for i in range(j) if roots[i] != roots[j] and alike(hashes[i], hashes[j])}
     assert like and like <= got and all(j < 24 for _, j in got)
+
+
+def test_values_are_not_counted_where_they_cannot_make_fewer_pairs(spark, monkeypatch):
+    texts = [t.split() for t in passage_and_few_words(20)]
+    seen = stashed(monkeypatch)
+    crowd, nodes = crowd_of(spark, texts, range(5))  # all share all values: no word has fewer pairs by them
+    _crowd_pairs(crowd, nodes, 0.8, 2)
+    assert seen["used-words"] > 0 and seen["maybe-valued"] == 0
+    crowd, nodes = crowd_of(spark, texts, (0,))
+    crowd = crowd.selectExpr("uid DIV 2 AS key", "uid", "root")
+    pairs, _ = _crowd_pairs(crowd, nodes, 0.8, 2)
+    assert seen["maybe-valued"] > 0 and seen["valued-words"] > 0
+    assert {(2 * i, 2 * i + 1) for i in range(20)} <= {(r["a"], r["b"]) for r in pairs.collect()}
