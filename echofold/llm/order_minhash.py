@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, short_batches, stash
+from .common import discard, short_batches, stash
 
 WORDS, BANDS, ORDER, SIMILARITY = 5, 88, 2, 0.8
 #: Texts of a run outside its main class that are compared with the whole run.
@@ -35,7 +35,7 @@ COUNTERS, HOT = 1 << 16, 128
 #: Longs of a text's parities; its last words, and least values, by which a pair is told to meet at another one.
 PARITIES, LATER = 16, 64
 #: Words of the runs by which texts without any partner are told, and runs of words that a task looks at together.
-RUN, PART = 2, 1 << 20
+RUN, PART = 2, 1 << 18
 #: Words of texts that are anchored together.
 ANCHORED = 1 << 18
 #: Cells of a sketch, and of an alignment, that are made together.
@@ -576,7 +576,7 @@ def _partnered(texts: DataFrame, sizes: tuple[int, int], least: float) -> tuple[
     What is left is looked at again, as long as a fourth or more of it goes.
     """
     while sizes[0]:
-        parts = max(sizes[1] // PART + 1, partitions(texts.sparkSession))
+        parts = sizes[1] // PART + 1  # a text has a row of each
 
         def spread(batches, parts=parts):
             for b in batches:
