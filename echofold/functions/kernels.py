@@ -1,4 +1,4 @@
-"""Scans and candidate search within one payload, in numpy.
+"""Scans and candidate search within payloads, in numpy: many short ones are searched at once.
 
 Positions are byte offsets. A candidate (src, dst, len) says that the ``len`` bytes at ``dst``
 are those from ``src`` on, where a source that runs into its own copy goes on periodically;
@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
-from .config import MatchConfig
+from .config import MATCH_COST, MatchConfig, exhaustive_seed
 from .hashing import PrefixHash, as_bytes
 
 M1_WINDOW = 48
@@ -22,20 +23,17 @@ M1_WINDOW = 48
 MISS, HIT = 271828182, 314159265
 #: Pairs of seed and target that are looked at together.
 PAIRS = 1 << 20
+#: Bytes of payloads that are searched at once, about.
+GROUP = 1 << 19
+#: Bytes that the order-1 hash reads at a time of each block.
+STEP = 128
+#: An odd number that spreads hashes over a table: 2**64 by the golden ratio.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 # -- scans ---------------------------------------------------------------------------------
 
 
-def block_bounds(n: int, block: int) -> list[tuple[int, int]]:
-    return [(at, min(n, at + block)) for at in range(0, n, block)]
-
-
-def grid(n: int, step: int) -> np.ndarray:
-    """Starts of the whole aligned pieces of ``step`` bytes."""
-    return np.arange(0, n - step + 1, step, dtype=np.int64) if n >= step else np.zeros(0, np.int64)
-
-
 def representatives(h: np.ndarray, region: int) -> tuple[np.ndarray, np.ndarray]:
     """(position, first target that may see it) of each whole region's window of largest hash, ties to the first.
 
@@ -50,62 +48,179 @@ def representatives(h: np.ndarray, region: int) -> tuple[np.ndarray, np.ndarray]
     return start + best, start + region
 
 
-def rolling_cuts(s: np.ndarray, lo: int, hi: int, target: int, least: int) -> list[int]:
-    """Ends of the chunks of block [lo, hi): before byte p if the window that ends with p hashes high enough.
+def rolling_cuts(j: Joined, cfg: MatchConfig) -> np.ndarray:
+    """Where chunks end within their blocks: before byte p if the window that ends with p hashes high enough.
 
     The window is that of the last 48 bytes of the block, whatever was cut before, so all
     hashes are made at once and only the least chunk length is followed in order.
     """
-    if hi - lo <= M1_WINDOW:
-        return [hi] if hi > lo else []
-    h = PrefixHash(s[lo:hi]).windows(M1_WINDOW)[1:]
-    limit = np.uint64(2**64 - 1 - (2**64 - 1) // target)
-    ends, last = [], lo
-    for p in (np.flatnonzero(h > limit) + lo + M1_WINDOW).tolist():
-        if p - last >= least:
-            ends.append(p)
-            last = p
-    return ends + [hi] if last < hi else ends
-
-
-def order1_cuts(s: np.ndarray, lo: int, hi: int, target: int, least: int) -> list[int]:
-    """Ends of the chunks of block [lo, hi) by a hash that weighs whether each byte follows the last as it did before.
+    limit = np.uint64(2**64 - 1 - (2**64 - 1) // cfg.target_chunk)
+    p = np.flatnonzero(j.hash.windows(M1_WINDOW) > limit) + M1_WINDOW - 1
+    begins = j.blocks(cfg.block_size)[:, 0]
+    block = np.searchsorted(begins, p, "right") - 1
+    inside = p - begins[block] >= M1_WINDOW
+    ends, of, last = [], -1, 0
+    for at, k in zip(p[inside].tolist(), block[inside].tolist(), strict=True):
+        if k != of:
+            of, last = k, int(begins[k])
+        if at - last >= cfg.min_match:
+            ends.append(at)
+            last = at
+    return np.array(ends, np.int64)
+
+
+def order1_cuts(j: Joined, cfg: MatchConfig) -> np.ndarray:
+    """Where chunks end within their blocks, by a hash that weighs whether each byte follows the last as it did before.
 
     A cut is made before the byte at which the hash is high enough. That byte then starts
     the next chunk but is not read again: the state after a cut is the empty one.
+
+    Blocks are read side by side, ``STEP`` bytes of each at a time. Whether a byte was
+    predicted depends on the chunk only by where that begins: the last place of the byte
+    before has to lie within. A byte changes the hash h to a * h + b, and such changes are
+    joined by doubling.
     """
-    limit = 2**32 - 1 - (2**32 - 1) // target
-    ends, last = [], lo
-    follows, before, h = [0] * 256, 0, 0
-    for p, c in enumerate(s[lo:hi].tolist(), lo):
-        h = ((h + c + 1) * (HIT if follows[before] == c else MISS)) & 0xFFFFFFFF
-        follows[before] = c
-        before = c
-        if h > limit and p - last >= least:
-            ends.append(p)
-            last = p
-            follows, before, h = [0] * 256, 0, 0
-    return ends + [hi] if last < hi else ends
+    s, n, limit = j.s, len(j.s), np.uint32(2**32 - 1 - (2**32 - 1) // cfg.target_chunk)
+    spans = j.blocks(cfg.block_size)
+    if not n:
+        return np.zeros(0, np.int64)
+    # near: the last place before p - 1 with the byte of p - 1, if what follows there is the byte of p
+    order = np.argsort(s, kind="stable")
+    place = np.full(n, -1, np.int64)
+    place[order[1:]] = np.where(s[order[1:]] == s[order[:-1]], order[:-1], -1)
+    last_of = np.concatenate([[-1], place[:-1]])
+    near = np.where((last_of >= 0) & (s[last_of + 1] == s), last_of, -1)
+    view = lambda x, kind, rest: np.lib.stride_tricks.sliding_window_view(np.concatenate([x, np.full(STEP, rest)]).astype(kind), STEP)
+    kind = np.int32 if n < 2**31 - STEP else np.int64
+    near, bytes_at = view(near, kind, -1), view(s, np.uint8, 0)
+    zeros = bool((s == 0).any())
+    found, hi = [], spans[:, 1]
+    begin, last, at = spans[:, 0].copy(), spans[:, 0].copy(), spans[:, 0].copy()  # state empty at, chunk begins at, next byte
+    h = np.zeros(len(at), np.uint32)
+    while len(at):
+        c = bytes_at[at]
+        hit = near[at] >= begin.astype(kind)[:, None]
+        if zeros:
+            # no byte before counts as byte 0, and what follows a byte not seen yet as 0 too
+            where = at[:, None] + np.arange(STEP)
+            first = where == begin[:, None]
+            before = np.where(first, 0, s[np.clip(where - 1, 0, n - 1)])
+            new = ~first & (last_of[np.minimum(where, n - 1)] < begin[:, None])
+            hit = np.where(first, c == 0, np.where(new, np.where(before == 0, s[np.minimum(begin, n - 1)][:, None] == c, c == 0), hit))
+        a = np.where(hit, np.uint32(HIT), np.uint32(MISS))
+        b = a * (c + np.uint32(1))
+        b[:, 0] += a[:, 0] * h
+        k = 1
+        while k < STEP:
+            b[:, k:] += a[:, k:] * b[:, :-k]
+            if 2 * k < STEP:
+                a[:, k:] *= a[:, :-k].copy()
+            k *= 2
+        row, p = np.nonzero(b > limit)
+        p = p + at[row]
+        ok = (p - last[row] >= cfg.min_match) & (p < hi[row])
+        row, one = np.unique(row[ok], return_index=True)
+        p = p[ok][one]
+        found.append(p)
+        at, h = at + STEP, b[:, -1].copy()
+        last[row], begin[row], at[row], h[row] = p, p + 1, p + 1, 0
+        live = at < hi
+        if not live.all():
+            last, begin, at, h, hi = last[live], begin[live], at[live], h[live], hi[live]
+    return np.sort(np.concatenate(found))
+
+
+def chunk_ends(j: Joined, cfg: MatchConfig) -> np.ndarray:
+    """Ends of all chunks, in order; state starts anew in every block."""
+    cuts = (rolling_cuts if cfg.method == "m1" else order1_cuts)(j, cfg)
+    return np.sort(np.concatenate([cuts, j.blocks(cfg.block_size)[:, 1]]))
 
 
 def chunks(payload: bytes, cfg: MatchConfig) -> list[tuple[int, int, int]]:
-    """(block, start, end) of every chunk; state starts anew in every block."""
-    s, cut = as_bytes(payload), rolling_cuts if cfg.method == "m1" else order1_cuts
-    out = []
-    for k, (lo, hi) in enumerate(block_bounds(len(s), cfg.block_size)):
-        start = lo
-        for end in cut(s, lo, hi, cfg.target_chunk, cfg.min_match):
-            out.append((k, start, end))
-            start = end
-    return out
+    """(block, start, end) of every chunk."""
+    ends = chunk_ends(Joined([payload]), cfg).tolist()
+    return [(start // cfg.block_size, start, end) for start, end in zip([0, *ends], ends, strict=False)]
 
 
 # -- candidates ----------------------------------------------------------------------------
 
 
+def together(sizes: list[int]) -> list[range]:
+    """Ranges of payloads of these sizes to be searched at once, of about ``GROUP`` bytes; a longer payload is alone."""
+    out, first, size = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and size + n > GROUP:
+            out.append(range(first, i))
+            first, size = i, 0
+        size += n
+    return [*out, range(first, len(sizes))] if sizes else out
+
+
+class Joined:
+    """Payloads one behind the other, so that a numpy call serves them all.
+
+    Positions are those of the whole; ``local`` gives those of each payload. What would cross
+    from one payload to the next is never looked at.
+    """
+
+    def __init__(self, payloads: list[bytes]):
+        self.start = np.concatenate([[0], np.cumsum([len(p) for p in payloads])]).astype(np.int64)
+        self.data = payloads[0] if len(payloads) == 1 else b"".join(payloads)
+        self.s = as_bytes(self.data)
+        self._all: tuple | None = None
+
+    @cached_property
+    def hash(self) -> PrefixHash:
+        return PrefixHash(self.s)
+
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.start, at, "right") - 1
+
+    def local(self, at: np.ndarray) -> np.ndarray:
+        return at - self.start[self.owner(at)]
+
+    def grid(self, step: int, count: np.ndarray | None = None) -> np.ndarray:
+        """Starts of each payload's whole aligned pieces of ``step`` bytes, or of its first ``count``."""
+        n = np.diff(self.start) // step if count is None else count
+        return np.repeat(self.start[:-1] - step * (np.cumsum(n) - n), n) + step * np.arange(n.sum())
+
+    def blocks(self, size: int) -> np.ndarray:
+        """[start, end) of each payload's blocks of ``size`` bytes, the last one shorter."""
+        lo = self.grid(size, -(-np.diff(self.start) // size))
+        return np.stack([lo, np.minimum(lo + size, self.start[self.owner(lo) + 1])], axis=1)
+
+    def each(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Sums of ``values`` by payload; ``at`` is sorted."""
+        sums = np.concatenate([[0], np.cumsum(values)])
+        edge = np.searchsorted(at, self.start, "left")
+        return sums[edge[1:]] - sums[edge[:-1]]
+
+    def runs(self, least: int, seed: int, cap: int) -> Found:
+        """Runs of ``least`` bytes or more that equal those a distance before, sorted by source; with ``seed`` those that hold a whole aligned seed.
+
+        A run of ``least`` bytes holds a whole aligned piece half as long, so with shorter seeds
+        all runs are asked for. These are kept for the next call, of another method.
+        """
+        whole = exhaustive_seed(least)
+        cap = cap if cap < np.diff(self.start).max(initial=0) else 0
+        if self._all is None or self._all[0] > least or self._all[1] and not 0 < cap <= self._all[1]:
+            found = _runs(self, max(whole, seed), max(least, seed), cap)
+            if seed > whole:
+                return found
+            self._all = least, cap, found
+        f = self._all[2]
+        ok = f.length >= max(least, seed)
+        if cap:
+            ok &= f.dst - f.src <= cap
+        if seed > whole:
+            lo = self.local(f.src)
+            ok &= (lo + f.length) // seed > -(-lo // seed)
+        return Found(f.src[ok], f.dst[ok], f.length[ok], 0, 0)
+
+
 @dataclass
 class Found:
-    """Distinct candidates, and how many (seed, target) events gave them.
+    """Distinct candidates, and how many (seed, target) events gave them, both in each payload where these are joined.
 
     Where only the best were asked for, those of a smaller source stand for all of a
     destination and length, and ``distinct`` still counts all.
@@ -114,13 +229,8 @@ class Found:
     src: np.ndarray
     dst: np.ndarray
     length: np.ndarray
-    raw: int
-    distinct: int
-
-    @classmethod
-    def of(cls, parts: list[np.ndarray], raw: int) -> Found:
-        rows = np.unique(np.concatenate(parts), axis=0) if parts else np.zeros((0, 3), np.int64)
-        return cls(rows[:, 0], rows[:, 1], rows[:, 2], raw, len(rows))
+    raw: int | np.ndarray
+    distinct: int | np.ndarray
 
     def best(self) -> Found:
         """Of each destination and length the smallest source."""
@@ -130,23 +240,36 @@ class Found:
         return Found(self.src[keep], self.dst[keep], self.length[keep], self.raw, self.distinct)
 
 
-def _heads(p: PrefixHash, seeds: np.ndarray, visible: np.ndarray, h: np.ndarray, seed: int, cap: int):
-    """(seed, target) with equal hashes, the target behind the seed and able to see it, in bounded batches.
+def _heads(j: Joined, seed: int, cap: int):
+    """(seed, target) with equal hashes, the target behind the seed and in its payload, in bounded batches.
 
     Of pairs at one distance whose seeds follow each other within one run of equal bytes only
     the first is given: all would grow to the same run. So repetitive data, in which almost
     every pair has such a predecessor, costs a lookup a pair and nothing after.
 
-    Seeds are sorted by hash, then position; those of a target's hash are one range, so
-    batches are cut by target without ever holding all pairs.
+    Most targets are ruled out by a table of some bits of the seeds' hashes. Seeds are sorted
+    by hash and payload, then position; those of a target are one range, so batches are cut by
+    target without ever holding all pairs.
     """
-    keys = h[seeds]
-    order = np.lexsort((seeds, keys))
+    seeds = j.grid(seed)
+    if not len(seeds):
+        return
+    p, h, own = j.hash, j.hash.windows(seed), j.owner(seeds)
+    bits = (16 * len(seeds)).bit_length()
+    some = ((h * SPREAD) >> np.uint64(64 - bits)).view(np.int64)
+    table = np.zeros(1 << bits, bool)
+    table[some[seeds]] = True
+    targets = np.flatnonzero(table[some])
+    of = j.owner(targets)
+    inside = targets + seed <= j.start[of + 1]
+    targets, of = targets[inside], of[inside]
+    key = lambda at, k: h[at] ^ (k.astype(np.uint64) * SPREAD)
+    keys, wanted = key(seeds, own), key(targets, of)
+    order = np.argsort(keys, kind="stable")
     sorted_keys = keys[order]
-    targets = np.arange(len(h), dtype=np.int64)
-    lo, hi = np.searchsorted(sorted_keys, h, "left"), np.searchsorted(sorted_keys, h, "right")
+    lo, hi = np.searchsorted(sorted_keys, wanted, "left"), np.searchsorted(sorted_keys, wanted, "right")
     live = hi > lo
-    targets, lo, hi = targets[live], lo[live], hi[live]
+    targets, of, lo, hi = targets[live], of[live], lo[live], hi[live]
     ends, at = np.cumsum(hi - lo), 0
     while at < len(targets):
         done = int(ends[at - 1]) if at else 0
@@ -154,137 +277,164 @@ def _heads(p: PrefixHash, seeds: np.ndarray, visible: np.ndarray, h: np.ndarray,
         n = (hi - lo)[at : at + take]
         t = np.repeat(targets[at : at + take], n)
         k = order[np.repeat(lo[at : at + take], n) + np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)]
+        ok = (seeds[k] < t) & (own[k] == np.repeat(of[at : at + take], n))
         at += take
-        ok = (seeds[k] < t) & (visible[k] <= t)
         if cap:
             ok &= t - seeds[k] <= cap
         k, t = k[ok], t[ok]
-        before = np.maximum(k - 1, 0)
-        a, d = seeds[before], t - seeds[k]
-        joined = (k > 0) & (visible[before] <= a + d)
-        size = np.where(joined, seeds[k] - a + seed, 0)
-        first = ~(joined & (p.at(a, size) == p.at(np.where(joined, a + d, a), size)))
+        after = np.flatnonzero((k > 0) & (own[k - 1] == own[k]))
+        a, d = seeds[k[after] - 1], (t - seeds[k])[after]
+        first = np.ones(len(k), bool)
+        if len(after):
+            first[after[p.at(a, 2 * seed) == p.at(a + d, 2 * seed)]] = False
         yield seeds[k[first]], t[first]
 
 
-def _equal(s: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _equal(data: bytes, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Whether the ranges are equal byte for byte: what hashes say is never taken on trust."""
-    view = memoryview(s)
-    return np.fromiter((view[x : x + m] == view[y : y + m] for x, y, m in zip(a.tolist(), b.tolist(), n.tolist(), strict=True)), bool, len(a))
-
-
-def _runs(s: np.ndarray, p: PrefixHash, seed: int, at: np.ndarray, visible: np.ndarray, keys: np.ndarray, least: int, cap: int) -> Found:
-    """The runs of equal bytes around seeds: what growing a seed to both sides finds."""
-    n, parts = len(s), []
-    for a, b in _heads(p, at, visible, keys, seed, cap):
-        back = p.common_back(a, b, a)
-        size = back + p.common(a, b, n - b)
-        ok = size >= max(least, seed)
-        rows = np.unique(np.stack([a - back, b - back, size], axis=1)[ok], axis=0)
-        parts.append(rows[_equal(s, *rows.T)])
-    out = Found.of(parts, 0)
-    # an event is a seed within a run that its target can see
-    lo = np.searchsorted(at, out.src, "left")
-    hi = np.searchsorted(at, out.src + out.length - seed, "right")
-    out.raw = int(np.maximum(hi - lo, 0).sum())
-    late = visible - at
-    for i in np.flatnonzero(out.dst - out.src < late.max(initial=0)):
-        out.raw -= int((late[lo[i] : hi[i]] > out.dst[i] - out.src[i]).sum())
-    return out
-
-
-def _quanta(s: np.ndarray, p: PrefixHash, seed: int, at: np.ndarray, h: np.ndarray, least: int, cap: int, best: bool) -> Found:
+    return np.fromiter((data[x : x + m] == data[y : y + m] for x, y, m in zip(a.tolist(), b.tolist(), n.tolist(), strict=True)), bool, len(a))
+
+
+def _runs(j: Joined, seed: int, least: int, cap: int) -> Found:
+    """The runs of equal bytes around aligned seeds: what growing a seed to both sides finds."""
+    p, parts = j.hash, [np.zeros((3, 0), np.int64)]
+    for a, b in _heads(j, seed, cap):
+        own = j.owner(b)
+        back = p.common_back(a, b, a - j.start[own])
+        size = back + p.common(a, b, j.start[own + 1] - b)
+        ok = size >= least
+        parts.append(_distinct(np.stack([a - back, b - back, size])[:, ok]))
+    rows = _distinct(np.concatenate(parts, axis=1))
+    rows = rows[:, _equal(j.data, *rows)]
+    return Found(*rows, 0, 0)
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Runs sorted by source and destination, each once."""
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    return rows[:, np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])] if rows.shape[1] else rows
+
+
+def _grown(j: Joined, least: int, seed: int, cap: int) -> Found:
+    """m4 and m5: runs around aligned seeds; an event is a seed within."""
+    f = j.runs(least, seed, cap)
+    lo = j.local(f.src)
+    return Found(f.src, f.dst, f.length, j.each(f.src, (lo + f.length) // seed - -(-lo // seed)), j.each(f.src, np.ones(len(lo), np.int64)))
+
+
+def _quanta(j: Joined, least: int, seed: int, cap: int, best: bool) -> Found:
     """From each seed on, as many whole seeds as its run holds: a family for each run, all ending in its last seed.
 
     With ``best``, families are written out a bounded number of rows at a time, and of each
     destination and length the smallest source is kept, so memory follows these and not the
     families.
     """
-    runs = _runs(s, p, seed, at, np.zeros(len(at), np.int64), h, seed, cap)
-    lo = -(-runs.src // seed)
     few = -(-least // seed)
-    tail = runs.src + runs.length - lo * seed
+    runs = j.runs(few * seed, seed, cap)
+    skip = -j.local(runs.src) % seed
+    tail = runs.length - skip
     count = np.maximum(tail // seed - few + 1, 0)
-    total, ends = int(count.sum()), np.cumsum(count)
-    kept, begin = Found.of([], 0), 0
-    while begin < len(lo):
-        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, "right"))) if best else len(lo)
+    ends = np.cumsum(count)
+    kept, begin = Found(*np.zeros((3, 0), np.int64), 0, 0), 0
+    while begin < len(skip):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, "right"))) if best else len(skip)
         own = np.arange(begin, end)
         which = np.repeat(own, count[own])
         k = np.arange(len(which)) - np.repeat(np.cumsum(count[own]) - count[own], count[own])
-        src = (lo[which] + k) * seed
+        src = (runs.src + skip)[which] + k * seed
         found = Found(src, src + (runs.dst - runs.src)[which], (tail[which] - k * seed) // seed * seed, 0, 0)
         if best:
             found = found.best()
-            found = Found(*(np.concatenate([getattr(x, c) for x in (kept, found)]) for c in ("src", "dst", "length")), 0, 0).best()
+            found = Found(*(np.concatenate([getattr(x, c) for x in (kept, found)]) for c in ("src", "dst", "length")), 0, 0).best() if begin else found
         kept, begin = found, end
+    total = j.each(runs.src, count)
     return Found(kept.src, kept.dst, kept.length, total, total)
 
 
-def _nibbles(p: PrefixHash, start: np.ndarray, seed: int) -> np.ndarray:
-    """The low four bits of the hash of each eighth of the piece at ``start``: a filter that rules out most unequal pieces."""
-    out = np.zeros(len(start), np.uint64)
-    for k in range(8):
-        lo, hi = k * seed // 8, (k + 1) * seed // 8
-        if hi > lo:
-            out |= (p.at(start + lo, hi - lo) & np.uint64(15)) << np.uint64(4 * k)
-    return out
-
+def regions(j: Joined, min_match: int, cap: int) -> Found:
+    """m0, also the overlay: runs that hold a representative of a region of an eighth of the minimum, which their target can see.
 
-def candidates(payload: bytes, cfg: MatchConfig, best: bool = False) -> Found:
+    An event is such a representative.
+    """
+    region = max(1, min_match // 8)
+    f = j.runs(min_match, 0, cap)
+    if not len(f.src):
+        return Found(f.src, f.dst, f.length, *[np.zeros(len(j.start) - 1, np.int64)] * 2)
+    # only those of the payloads that have runs
+    has = np.zeros(len(j.start) - 1, bool)
+    has[j.owner(f.src)] = True
+    start = j.grid(region, np.where(has, np.maximum(np.diff(j.start) - region + 1, 0) // region, 0))
+    at = start + j.hash.windows(region)[start[:, None] + np.arange(region)].argmax(axis=1)
+    late = start + region - at
+    lo = np.searchsorted(at, f.src, "left")
+    hi = np.maximum(np.searchsorted(at, f.src + f.length - region, "right"), lo)
+    count, distance = hi - lo, f.dst - f.src
+    for d in np.unique(distance[distance < region]).tolist():
+        seen, own = np.concatenate([[0], np.cumsum(late <= d)]), distance == d
+        count[own] = seen[hi[own]] - seen[lo[own]]
+    ok = count > 0
+    return Found(f.src[ok], f.dst[ok], f.length[ok], j.each(f.src[ok], count[ok]), j.each(f.src[ok], np.ones(int(ok.sum()), np.int64)))
+
+
+def find(j: Joined, cfg: MatchConfig, best: bool = False) -> Found:
     """The base candidates of ``cfg.method`` (without overlay); with ``best`` the smallest source of each destination and length."""
-    s, cap = as_bytes(payload), cfg.distance_cap
+    least, seed, cap = cfg.min_match, cfg.seed, cfg.distance_cap
     if cfg.method in ("m1", "m2"):
-        return _chunk_candidates(payload, cfg, best)
-    if cfg.method == "m0":
-        found = region_candidates(payload, cfg.min_match, cap)
-        return found.best() if best else found
-    n, seed = len(s), cfg.seed
-    if n < seed:
-        return Found.of([], 0)
-    p = PrefixHash(s)
-    h, at = p.windows(seed), grid(n, seed)
+        return _chunk_candidates(j, cfg, best)
     if cfg.method == "m3":
-        return _quanta(s, p, seed, at, h, cfg.min_match, cap, best)
-    keys = h
-    if cfg.method == "m5":
-        # one key of the hash and the slices' filter, so both are looked up at once
-        keys = h * np.uint64(0x9E3779B97F4A7C15) ^ _nibbles(p, np.arange(len(h), dtype=np.int64), seed)
-    found = _runs(s, p, seed, at, np.zeros(len(at), np.int64), keys, cfg.min_match, cap)
+        return _quanta(j, least, seed, cap, best)
+    found = regions(j, least, cap) if cfg.method == "m0" else _grown(j, least, seed, cap)
     return found.best() if best else found
 
 
-def region_candidates(payload: bytes, min_match: int, cap: int) -> Found:
-    """m0, also the overlay: representatives of regions of an eighth of the minimum, seen from every position."""
-    s, region = as_bytes(payload), max(1, min_match // 8)
-    if len(s) < region:
-        return Found.of([], 0)
-    p = PrefixHash(s)
-    h = p.windows(region)
-    at, visible = representatives(h, region)
-    return _runs(s, p, region, at, visible, h, min_match, cap)
+def find_overlay(j: Joined, cfg: MatchConfig, best: bool = False) -> Found:
+    """The candidates of the overlay of ``cfg``."""
+    found = regions(j, cfg.overlay.min_match, min(c for c in (cfg.distance_cap, cfg.overlay.distance) if c))
+    return found.best() if best else found
+
+
+def candidates(payload: bytes, cfg: MatchConfig, best: bool = False) -> Found:
+    """``find`` in a single payload."""
+    f = find(Joined([payload]), cfg, best)
+    return Found(f.src, f.dst, f.length, int(f.raw[0]), int(f.distinct[0]))
 
 
-def _chunk_candidates(payload: bytes, cfg: MatchConfig, best: bool) -> Found:
+def _chunk_candidates(j: Joined, cfg: MatchConfig, best: bool) -> Found:
     """Every earlier chunk of equal bytes within reach for every chunk, or, with ``best``, the first of them."""
-    seen: dict[bytes, list[int]] = {}
-    rows, total = [], 0
-    for _, start, end in chunks(payload, cfg):
-        own = payload[start:end]
-        if len(own) < cfg.min_match:
-            continue
-        earlier = seen.setdefault(own, [])
-        first = bisect_left(earlier, start - cfg.distance_cap) if cfg.distance_cap else 0
-        total += len(earlier) - first
-        rows += [(at, start, len(own)) for at in earlier[first : first + 1 if best else None]]
+    ends = chunk_ends(j, cfg)
+    starts = np.concatenate([[0], ends])[:-1]
+    long = ends - starts >= cfg.min_match
+    data, seen, of = j.data, {}, -1
+    rows, total = [], np.zeros(len(j.start) - 1, np.int64)
+    for own, start, end in zip(j.owner(starts[long]).tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+        if own != of:
+            seen, of = {}, own
+        earlier = seen.setdefault(data[start:end], [])
+        if earlier:
+            first = bisect_left(earlier, start - cfg.distance_cap) if cfg.distance_cap else 0
+            total[own] += len(earlier) - first
+            rows += [(at, start, end - start) for at in earlier[first : first + 1 if best else None]]
         earlier.append(start)
-    found = Found.of([np.array(rows, np.int64).reshape(-1, 3)], total)
-    return Found(found.src, found.dst, found.length, total, total)
+    return Found(*np.array(sorted(rows), np.int64).reshape(-1, 3).T, total, total)
 
 
 # -- selection -----------------------------------------------------------------------------
 
 
+def chosen(j: Joined, cfg: MatchConfig) -> Found:
+    """The matches of each payload, in order: the best set of its candidates and its overlay's. No counts.
+
+    The best set of payloads joined is that of each, as no interval crosses a border.
+    """
+    found = [find_overlay(j, cfg, True)] if cfg.overlay else []
+    found.append(find(j, cfg, True))
+    f = Found(*(np.concatenate([getattr(x, c) for x in found]) for c in ("src", "dst", "length")), 0, 0)
+    f = f.best() if cfg.overlay else f
+    pays = np.flatnonzero(f.length > MATCH_COST)
+    keep = pays[select(f.dst[pays], f.src[pays], f.length[pays], MATCH_COST)]
+    return Found(f.src[keep], f.dst[keep], f.length[keep], 0, 0)
+
+
 def select(dst: np.ndarray, src: np.ndarray, length: np.ndarray, cost: int) -> np.ndarray:
     """Indices, in order, of the best set of intervals [dst, dst + length) that do not overlap.
 

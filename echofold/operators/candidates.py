@@ -10,17 +10,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.config import MatchConfig
-from ..functions.kernels import Found, candidates, region_candidates
+from ..functions.kernels import Found, Joined, find, find_overlay, together
 from .scans import cdc_chunks, grid_seeds
 
 SCHEMA = "stream_id long, src long, dst long, len long, method string, phase int"
 BASE, OVERLAY, EXTERNAL = 0, 1, 255
-#: Rows of a batch that is handed on, about.
-BATCH_ROWS = 1 << 16
 
 
 def find_candidates(streams: DataFrame, cfg: MatchConfig, *, best: bool = False) -> DataFrame:
@@ -29,44 +28,51 @@ def find_candidates(streams: DataFrame, cfg: MatchConfig, *, best: bool = False)
     With ``best``, those of the smallest source for each destination and length stand for all,
     which is what ``select.representatives`` would keep of them.
     """
-    overlay = cfg.overlay
-    caps = [c for c in (cfg.distance_cap, overlay.distance if overlay else 0) if c]
     names = ["stream_id", "src", "dst", "len", "method", "phase"]
 
-    def batch(rows: list) -> pa.RecordBatch:
-        sizes = [len(f.src) for _, f, _, _ in rows]
-        flat = [np.concatenate([getattr(f, c) for _, f, _, _ in rows]) for c in ("src", "dst", "length")]
-        each = lambda i, kind: pa.array(np.repeat(np.array([r[i] for r in rows], object if kind == pa.string() else np.int64), sizes), kind)
-        return pa.RecordBatch.from_arrays([each(0, pa.int64()), *(pa.array(x, pa.int64()) for x in flat), each(2, pa.string()), each(3, pa.int32())], names)
+    def batch(ids: np.ndarray, j: Joined, found: list[tuple[Found, str, int]]) -> pa.RecordBatch:
+        sizes = [len(f.src) for f, _, _ in found]
+        src, dst, n = (np.concatenate([getattr(f, c) for f, _, _ in found]) for c in ("src", "dst", "length"))
+        own = j.owner(dst)
+        label = lambda i, kind: pa.array(np.repeat(np.array([f[i] for f in found], object if kind == pa.string() else np.int64), sizes), kind)
+        return pa.RecordBatch.from_arrays([pa.array(ids[own], pa.int64()), pa.array(src - j.start[own], pa.int64()), pa.array(dst - j.start[own], pa.int64()), pa.array(n, pa.int64()), label(1, pa.string()), label(2, pa.int32())], names)
 
     def run(batches):
-        for b in batches:
-            held, n = [], 0
-            for sid, payload in zip(b["stream_id"].to_pylist(), b["payload"].to_pylist(), strict=True):
-                held.append((sid, candidates(payload, cfg, best), cfg.method, BASE))
-                n += len(held[-1][1].src)
-                if overlay:
-                    found = region_candidates(payload, overlay.min_match, min(caps))
-                    held.append((sid, found.best() if best else found, "m0", OVERLAY))
-                    n += len(held[-1][1].src)
-                if n > BATCH_ROWS:
-                    yield batch(held)
-                    held, n = [], 0
-            if held:
-                yield batch(held)
+        for ids, j in joined(batches):
+            # that of the overlay first: its runs are shorter, so those of the base are among them
+            found = [(find_overlay(j, cfg, best), "m0", OVERLAY)] if cfg.overlay else []
+            yield batch(ids, j, [(find(j, cfg, best), cfg.method, BASE), *found])
 
     return streams.select("stream_id", "payload").mapInArrow(run, SCHEMA)
 
 
+def joined(batches):
+    """(ids, payloads joined) of Arrow batches of streams, some at a time."""
+    for b in batches:
+        ids, sizes = b["stream_id"].to_numpy(zero_copy_only=False), pc.binary_length(b["payload"]).to_numpy(zero_copy_only=False)
+        for r in together(sizes.tolist()):
+            yield ids[r.start : r.stop], Joined(b["payload"].slice(r.start, len(r)).to_pylist())
+
+
 def candidate_metrics(streams: DataFrame, cfg: MatchConfig) -> DataFrame:
     """(stream_id, raw_events, distinct_candidates) of the base method."""
+    return metrics_of_methods(streams, {cfg.method: cfg}).drop("method")
+
+
+def metrics_of_methods(streams: DataFrame, configs: dict[str, MatchConfig]) -> DataFrame:
+    """(stream_id, raw_events, distinct_candidates, method) of the base method of each of ``configs``, by its name.
+
+    Streams are read once, and what methods have in common is searched once.
+    """
+    names = ["stream_id", "raw_events", "distinct_candidates", "method"]
 
     def run(batches):
-        for b in batches:
-            found = [candidates(p, cfg, best=True) for p in b["payload"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["stream_id"], pa.array([f.raw for f in found], pa.int64()), pa.array([f.distinct for f in found], pa.int64())], ["stream_id", "raw_events", "distinct_candidates"])
+        for ids, j in joined(batches):
+            for name, cfg in configs.items():
+                f = find(j, cfg, best=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(f.raw, pa.int64()), pa.array(f.distinct, pa.int64()), pa.array([name] * len(ids), pa.string())], names)
 
-    return streams.select("stream_id", "payload").mapInArrow(run, "stream_id long, raw_events long, distinct_candidates long")
+    return streams.select("stream_id", "payload").mapInArrow(run, "stream_id long, raw_events long, distinct_candidates long, method string")
 
 
 def external_candidates(df: DataFrame) -> DataFrame:

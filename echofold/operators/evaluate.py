@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.config import MatchConfig
+from ..functions.container import WIDTH
+from ..functions.errors import EngineError
+from ..functions.kernels import Found, Joined, chosen
+from .candidates import joined
+from .layouts import CRC_BYTES, HEADER_BYTES, TAIL_BYTES
+
 #: key=value fields of a profile line, all numbers but the event's name.
 PROFILE_NUMBERS = ("elapsed_ms", "ram", "ram_peak", "temp", "temp_peak", "handles", "files", "io")
 
@@ -15,6 +24,40 @@ def geometric_mean(value: Column) -> Column:
     return F.when(F.min(value) == 0, F.lit(0.0)).otherwise(F.exp(F.avg(F.ln(value))))
 
 
+def sizes_of_methods(streams: DataFrame, configs: dict[str, MatchConfig], base: str) -> DataFrame:
+    """(stream_id, kind, original_size, semantic_match_count, covered_bytes, archive_size, base_size) of each stream by each of ``configs``.
+
+    ``archive_size`` is that of its container in the index layout, ``base_size`` that by the
+    configuration named ``base``. Matches are found, chosen and summed up where the stream is:
+    it is read once, what methods have in common is searched once, and nothing is shuffled.
+    """
+    if any(c.layout != "index" for c in configs.values()):
+        raise EngineError("InvalidConfiguration", "sizes of the index layout only")
+    names = ["stream_id", "kind", "original_size", "semantic_match_count", "covered_bytes", "archive_size", "base_size"]
+
+    def run(batches):
+        for ids, j in joined(batches):
+            sizes = {k: _index_sizes(j, chosen(j, cfg), cfg) for k, cfg in configs.items()}
+            for k, columns in sizes.items():
+                rows = [ids, np.diff(j.start), *columns, sizes[base][-1]]
+                made = [pa.array(x, pa.int64()) for x in rows]
+                yield pa.RecordBatch.from_arrays([made[0], pa.array([k] * len(ids), pa.string()), *made[1:]], names)
+
+    return streams.select("stream_id", "payload").mapInArrow(run, "stream_id long, kind string, " + ", ".join(f"{n} long" for n in names[2:]))
+
+
+def _index_sizes(j: Joined, matches: Found, cfg: MatchConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(matches, bytes covered, bytes of the container in the index layout) of each payload, from its matches in order."""
+    v = lambda x: 1 + sum((x >= 1 << 7 * k).astype(np.int64) for k in range(1, 9))
+    src, dst, n = matches.src, matches.dst, matches.length
+    begin = j.start[j.owner(dst)]
+    gap = dst - np.maximum(begin, np.concatenate([[0], (dst + n)[:-1]]) if len(dst) else begin)
+    size = np.diff(j.start)
+    count, covered, table = (j.each(dst, x) for x in (np.ones(len(dst), np.int64), n, v(gap) + v(dst - src) + v(n)))
+    fixed = HEADER_BYTES + TAIL_BYTES + 2 * WIDTH[cfg.checksum]
+    return count, covered, fixed + size - covered + -(-size // cfg.block_size) * CRC_BYTES + v(count) + table
+
+
 def compare_sizes(new: DataFrame, old: DataFrame, keys: list[str], group: list[str], size: str) -> DataFrame:
     """Wins, ties and losses of ``new`` against ``old`` by ``group``; a strict majority of wins passes.
 

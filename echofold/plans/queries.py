@@ -289,13 +289,10 @@ def method_stats(spark, sf_dir):
 def method_comparison(spark, sf_dir):
     """Each method's container sizes against those of m4: wins, ties, losses and the mean share covered.
 
-    Every method is run once; a stream's rows meet by its id.
+    Every method is run once, where the stream is.
     """
-    s = docs(spark, sf_dir).where("byte_len > 0")
-    each = _union([engine.statistics(s, cfg).withColumn("kind", F.lit(k)) for k, cfg in CONFIGS.items()])
-    base = F.max(F.when(F.col("kind") == "m4", F.col("archive_size"))).over(Window.partitionBy("stream_id"))
-    rows = each.withColumn("base", base)
-    n, o = F.col("archive_size"), F.col("base")
+    rows = evaluate.sizes_of_methods(docs(spark, sf_dir).where("byte_len > 0"), CONFIGS, "m4")
+    n, o = F.col("archive_size"), F.col("base_size")
     share = (F.col("covered_bytes") + 1) / (F.col("original_size") + 1)
     out = rows.groupBy("kind").agg(F.count_if(n < o).alias("wins"), F.count_if(n == o).alias("ties"), F.count_if(n > o).alias("losses"), F.round(evaluate.geometric_mean(share), 9).alias("coverage_mean"))
     return out.withColumn("majority", F.col("wins") * 2 > F.col("wins") + F.col("ties") + F.col("losses"))

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from echofold.functions.config import MATCH_COST, MatchConfig, Overlay, exhaustive_seed, parse_method, parse_size
 from echofold.functions.errors import EngineError
 from echofold.functions.hashing import PrefixHash, as_bytes, blake3_256, crc32c, poly_hash, siphash24, xxh3_128
-from echofold.functions.kernels import HIT, MISS, candidates, chunks, select
+from echofold.functions.kernels import HIT, MISS, Joined, candidates, chunk_ends, chunks, find, find_overlay, select
 
 
 def best(data, cfg):
@@ -129,6 +129,37 @@ def test_chunk_candidates_are_all_earlier_equal_chunks():
     assert want and set(zip(found.src.tolist(), found.dst.tolist(), found.length.tolist(), strict=True)) == want
 
 
+def test_payloads_are_searched_together(monkeypatch):
+    from echofold.functions import kernels
+
+    made = []
+    monkeypatch.setattr(kernels, "PrefixHash", lambda s: made.append(len(s)) or PrefixHash(s))
+    r = random.Random(5)
+    for _ in range(60):
+        docs = [bytes(r.randint(0, w) for _ in range(r.choice([0, 1, 9, 40, 70]))) for w in r.choices([0, 1, 2], k=5)]
+        docs.append(docs[1])  # equal to another: no match crosses payloads
+        j, made[:] = Joined(docs), []
+        for method in ("m0", "m3", "m4", "m5"):
+            cfg = MatchConfig(method, min_match=r.randint(2, 20), max_distance=r.choice([None, 7]), **({"seed_size": r.randint(1, 9)} if method in ("m3", "m4") else {}))
+            found, want = find(j, cfg), [brute(d, cfg) for d in docs]
+            assert {(s - j.start[k], d - j.start[k], n, k) for s, d, n, k in zip(found.src, found.dst, found.length, j.owner(found.dst), strict=True)} == {(*row, k) for k, w in enumerate(want) for row in w[0]}
+            assert found.raw.tolist() == [w[1] for w in want] and found.distinct.tolist() == [len(w[0]) for w in want]
+        cfg = MatchConfig("m4", min_match=16, seed_size=8, overlay=Overlay(8, 1000))
+        found = find_overlay(j, cfg)
+        assert len(found.src) == sum(len(brute(d, MatchConfig("m0", min_match=8))[0]) for d in docs)
+        assert made == [len(j.s)]  # once for all methods and payloads
+
+
+@pytest.mark.parametrize("method", ["m1", "m2"])
+def test_chunks_of_payloads_together(method):
+    r = random.Random(6)
+    for _ in range(40):
+        docs = [bytes(r.randint(lo, lo + w) for _ in range(r.choice([0, 1, 200, 1500]))) for lo, w in r.choices([(0, 0), (0, 3), (97, 1), (97, 25), (0, 255)], k=5)]
+        cfg = MatchConfig(method, min_match=r.choice([2, 8, 32]), target_chunk=r.choice([32, 300]), block_size=1024)
+        j = Joined(docs)
+        assert chunk_ends(j, cfg).tolist() == [j.start[k] + e for k, d in enumerate(docs) for _, _, e in brute_cuts(d, cfg)]
+
+
 def score(rows, chosen):
     pick = sorted((rows[i] for i in chosen), key=lambda m: m[1])
     return (-sum(m[2] - MATCH_COST for m in pick), -sum(m[2] for m in pick), len(pick), [(m[1], m[0], -m[2]) for m in pick])

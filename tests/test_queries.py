@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from echofold import engine
-from echofold.functions.config import MatchConfig
+from echofold.functions import kernels
+from echofold.functions.config import MatchConfig, Overlay
 from echofold.functions.hashing import crc32c
 from echofold.operators import archives, candidates, documents, evaluate, layouts, scans, select
 from echofold.plans import queries as own
@@ -79,6 +80,32 @@ def test_matches_of_each_method(spark, method):
     assert {i: sorted(m) for i, m in got.items()} == {i: sorted(m) for i, m in want.items()}
 
 
+def test_sizes_of_all_methods_in_one_pass(spark):
+    s, _ = payloads(spark)
+    s = s.where("byte_len > 0")
+    configs = {k: MatchConfig(k, min_match=32, **({"seed_size": 16} if k in ("m3", "m4") else {"target_chunk": 32} if k in ("m1", "m2") else {})) for k in ("m0", "m1", "m2", "m3", "m4", "m5")}
+    configs["m4+overlay"] = MatchConfig("m4", min_match=64, seed_size=32, block_size=1024, overlay=Overlay(32, 1000))
+    rows = {(r.stream_id, r.kind): r for r in evaluate.sizes_of_methods(s, configs, "m4").collect()}
+    for k, cfg in configs.items():
+        for r in engine.statistics(s, cfg).collect():
+            got = rows.pop((r.stream_id, k))
+            assert (got.original_size, got.semantic_match_count, got.covered_bytes, got.archive_size) == (r.original_size, r.semantic_match_count, r.covered_bytes, r.archive_size)
+    assert not rows
+
+
+@pytest.mark.parametrize("name", ["method_comparison"])
+def test_methods_share_one_pass(spark, name):
+    plan = own.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_events_of_all_methods(spark):
+    s, data = payloads(spark)
+    configs = {"m0": MatchConfig("m0", min_match=32), "m2": MatchConfig("m2", min_match=8, target_chunk=32), "m4": MatchConfig("m4", min_match=32, seed_size=16)}
+    want = {(i, k, f.raw, f.distinct) for i, p in data.items() for k, c in configs.items() for f in [kernels.candidates(p, c, best=True)]}
+    assert {(r.stream_id, r.method, r.raw_events, r.distinct_candidates) for r in candidates.metrics_of_methods(s, configs).collect()} == want
+
+
 def test_islands_do_not_change_the_choice(spark):
     s, _ = payloads(spark)
     cfg = MatchConfig("m4", min_match=32, seed_size=16)
