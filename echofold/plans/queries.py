@@ -231,9 +231,7 @@ def candidate_summary(spark, sf_dir):
 @query()
 def candidate_events(spark, sf_dir):
     """Raw events and distinct candidates of the finders of each method."""
-    s = docs(spark, sf_dir)
-    each = [candidates.candidate_metrics(s, cfg).withColumn("method", F.lit(name)) for name, cfg in CONFIGS.items() if "+" not in name]
-    return _union(each)
+    return candidates.metrics_of_methods(docs(spark, sf_dir), {name: cfg for name, cfg in CONFIGS.items() if "+" not in name})
 
 
 @query()

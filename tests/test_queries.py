@@ -93,7 +93,7 @@ def test_sizes_of_all_methods_in_one_pass(spark):
     assert not rows
 
 
-@pytest.mark.parametrize("name", ["method_comparison"])
+@pytest.mark.parametrize("name", ["method_comparison", "candidate_events"])
 def test_methods_share_one_pass(spark, name):
     plan = own.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == plan.count("MapInArrow") == 1 and "Join" not in plan
