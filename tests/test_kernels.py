@@ -150,6 +150,23 @@ def test_payloads_are_searched_together(monkeypatch):
         assert made == [len(j.s)]  # once for all methods and payloads
 
 
+def test_overlay_and_base_share_one_search(monkeypatch):
+    from echofold.functions import kernels
+
+    heads, pairs = kernels._heads, []
+    monkeypatch.setattr(kernels, "_heads", lambda *a: (pairs.append(len(x[0])) or x for x in heads(*a)))
+    words = [bytes(random.Random(i).choices(b"abcdefghij", k=7)) for i in range(50)]
+    r = random.Random(8)
+    text = b" ".join(r.choices(words, k=3000))
+    docs = [text + text[:500], b"", text[100:900] * 2]
+    cfg = MatchConfig("m4", min_match=128, seed_size=64, overlay=Overlay(64, 1 << 20))
+    j = Joined(docs)
+    rows = kernels.chosen(j, cfg)
+    assert list(zip(j.local(rows.src).tolist(), j.local(rows.dst).tolist(), rows.length.tolist(), strict=True)) == [(0, len(text), 500), (0, 800, 800)]
+    # no pair for each place at which a word is seen again, and none anew for the base
+    assert len(pairs) == 1 and pairs[0] <= 10
+
+
 @pytest.mark.parametrize("method", ["m1", "m2"])
 def test_chunks_of_payloads_together(method):
     r = random.Random(6)
