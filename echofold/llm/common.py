@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import short_batches  # noqa: F401
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -74,15 +76,3 @@ def text_of(col: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def short_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """Arrow batches of at most ``size`` bytes in this session, besides their number of rows: texts may be long.
-
-    The setting is read when a query runs, after the call that made it has returned; so it
-    stays set. A smaller one is left as it is.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "1g"))
-    if not 0 < now <= size:
-        spark.conf.set(key, f"{size}b")

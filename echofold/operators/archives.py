@@ -5,12 +5,14 @@ from __future__ import annotations
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.config import MOST_POSITION, MatchConfig
 from ..functions.container import Marks, decode, encode, sniff
 from ..functions.errors import EngineError
+from ..functions.kernels import together
 
 
 def _rebatched(matches: DataFrame, streams: DataFrame) -> DataFrame:
@@ -19,11 +21,18 @@ def _rebatched(matches: DataFrame, streams: DataFrame) -> DataFrame:
     return streams.select("stream_id", "payload").join(lists, "stream_id", "left")
 
 
+def parts(batches, column: str):
+    """Batches cut into parts of about ``GROUP`` bytes of ``column``: what is made of one is handed on before the next."""
+    for b in batches:
+        for r in together(pc.fill_null(pc.binary_length(b[column]), 0).to_pylist()):
+            yield b.slice(r.start, len(r))
+
+
 def write_archives(matches: DataFrame, streams: DataFrame, cfg: MatchConfig, marks: Marks = Marks()) -> DataFrame:
     """(stream_id, archive): the container of each stream."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches, "payload"):
             made = [encode(p, [(m["src"], m["dst"], m["len"]) for m in ms or ()], cfg, marks) for p, ms in zip(b["payload"].to_pylist(), b["matches"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b["stream_id"], pa.array(made, pa.binary())], ["stream_id", "archive"])
 
@@ -32,7 +41,7 @@ def write_archives(matches: DataFrame, streams: DataFrame, cfg: MatchConfig, mar
 
 def _each(archives: DataFrame, make, schema: str, marks: Marks, output_limit: int) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in parts(batches, "archive"):
             rows = []
             for sid, data in zip(b["stream_id"].to_pylist(), b["archive"].to_pylist(), strict=True):
                 try:

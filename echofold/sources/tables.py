@@ -16,8 +16,9 @@ def streams(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
 
     Text is encoded as UTF-8, so every position downstream is a byte position. A null
     payload is the empty stream; rows with a null id are dropped, since a stream is named
-    by its id.
+    by its id. Python gets them in short batches, for this sets the session.
     """
+    short_batches(df.sparkSession)
     payload: Column = F.col(payload_col)
     if df.schema[payload_col].dataType.typeName() == "string":
         payload = F.encode(payload, "UTF-8")
@@ -28,6 +29,18 @@ def streams(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     )
 
 
+def short_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Arrow batches of at most ``size`` bytes in this session, besides their number of rows: texts may be long.
+
+    The setting is read when a query runs, after the call that made it has returned; so it
+    stays set. A smaller one is left as it is.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "1g"))
+    if not 0 < now <= size:
+        spark.conf.set(key, f"{size}b")
+
+
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
     """One stream per file below ``path``; ids are a hash of the path, the SHA-256 is the identity."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -153,6 +153,22 @@ def test_sizes_are_those_of_containers(spark, layout):
     assert {tuple(r) for r in archives.archive_matches(archived).collect()} == {tuple(r) for r in engine.find_matches(s, cfg).collect()}
 
 
+def test_containers_are_handed_on_in_parts(spark):
+    from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+
+    s, data = payloads(spark)
+    schema = StructType([StructField("stream_id", LongType()), StructField("archive", BinaryType())])
+    rows = [(i, bytearray(b"x" * (kernels.GROUP // 2 + 1))) for i in range(4)] + [(4, None)]
+    sizes = spark.createDataFrame(rows, schema).coalesce(1).mapInArrow(lambda bs: (b.select(["stream_id"]) for b in archives.parts(bs, "archive")), "stream_id long")
+    assert [r.stream_id for r in sizes.collect()] == [0, 1, 2, 3, 4]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"a": [bytes(r[1]) if r[1] else None for r in rows]})
+    assert [len(b) for b in archives.parts([batch, batch.slice(0, 0)], "a")] == [1, 1, 1, 2]
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert int(size.rstrip("b")) <= 8 << 20
+
+
 def test_broken_containers_are_rows(spark):
     s, _ = payloads(spark)
     a = engine.compress(s, MatchConfig("m4", min_match=32, seed_size=16))
