@@ -27,6 +27,10 @@ PAIRS = 1 << 20
 GROUP = 1 << 19
 #: Bytes that the order-1 hash reads at a time of each block.
 STEP = 128
+#: Bytes of a block that are read one after the other, the segments of a block side by side.
+SEGMENT = 2048
+#: Rows that are not worth numpy's calls.
+FEW = 3
 #: An odd number that spreads hashes over a table: 2**64 by the golden ratio.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,59 +79,128 @@ def order1_cuts(j: Joined, cfg: MatchConfig) -> np.ndarray:
     A cut is made before the byte at which the hash is high enough. That byte then starts
     the next chunk but is not read again: the state after a cut is the empty one.
 
-    Blocks are read side by side, ``STEP`` bytes of each at a time. Whether a byte was
-    predicted depends on the chunk only by where that begins: the last place of the byte
-    before has to lie within. A byte changes the hash h to a * h + b, and such changes are
-    joined by doubling.
+    What follows a cut does not depend on what was before it. So blocks are read from the start
+    of every ``SEGMENT`` on, as if a chunk began there, all side by side; each is read on behind
+    its end up to a cut that the reading there has made as well, and the true cuts are those
+    along this way. Where none is met soon, the true way is read on alone.
     """
-    s, n, limit = j.s, len(j.s), np.uint32(2**32 - 1 - (2**32 - 1) // cfg.target_chunk)
-    spans = j.blocks(cfg.block_size)
+    n = len(j.s)
     if not n:
         return np.zeros(0, np.int64)
+    walk, spans = _order1_walk(j.s, cfg), j.blocks(cfg.block_size)
+    count = -(-(spans[:, 1] - spans[:, 0]) // SEGMENT)
+    first = np.cumsum(count) - count
+    seg = np.repeat(spans[:, 0] - SEGMENT * first, count) + SEGMENT * np.arange(count.sum())
+    hi, known = np.repeat(spans[:, 1], count), np.zeros(n, bool)
+    stop = np.minimum(seg + SEGMENT, hi)
+    row, cut = walk(seg, seg, hi, stop, known)
+    own = cut < stop[row]
+    known[cut[own]] = True
+    behind = {r: [p] for r, p in zip(row[~own].tolist(), cut[~own].tolist(), strict=True)}
+    row, cut = row[own], cut[own]
+    lost = np.array([(r, p[0]) for r, p in behind.items() if not known[p[0]]], np.int64).reshape(-1, 2)
+    more, at = walk(lost[:, 1] + 1, lost[:, 1], hi[lost[:, 0]], lost[:, 1] + 2 * SEGMENT, known)
+    for r, p in zip(lost[more, 0].tolist(), at.tolist(), strict=True):
+        behind[r].append(p)
+    found, edge = [cut[(count == 1)[np.searchsorted(first, row, "right") - 1]]], np.searchsorted(row, np.arange(len(seg) + 1))
+    for k in np.flatnonzero(count > 1).tolist():
+        r, entry = int(first[k]), -1
+        while True:
+            mine = cut[edge[r] : edge[r + 1]]
+            found.append(mine[np.searchsorted(mine, entry, "right") :])
+            if r not in behind:
+                break
+            found.append(np.array(behind[r], np.int64))
+            if not known[found[-1][-1]]:
+                p = found[-1][-1:]
+                found.append(walk(p + 1, p, hi[[r]], hi[[r]], known)[1])
+                if not len(found[-1]) or not known[found[-1][-1]]:
+                    break
+            entry = int(found[-1][-1])
+            r = int(first[k]) + (entry - int(spans[k, 0])) // SEGMENT
+    return np.sort(np.concatenate(found))
+
+
+def _order1_walk(s: np.ndarray, cfg: MatchConfig):
+    """A function that reads on, side by side, from places at which the state is empty, ``STEP`` bytes of each at a time.
+
+    Whether a byte was predicted depends on the chunk only by where that begins: the last
+    place of the byte before has to lie within. A byte changes the hash h to a * h + b, and
+    such changes are joined by doubling.
+    """
+    n, limit = len(s), np.uint32(2**32 - 1 - (2**32 - 1) // cfg.target_chunk)
     # near: the last place before p - 1 with the byte of p - 1, if what follows there is the byte of p
-    order = np.argsort(s, kind="stable")
-    place = np.full(n, -1, np.int64)
-    place[order[1:]] = np.where(s[order[1:]] == s[order[:-1]], order[:-1], -1)
-    last_of = np.concatenate([[-1], place[:-1]])
-    near = np.where((last_of >= 0) & (s[last_of + 1] == s), last_of, -1)
-    view = lambda x, kind, rest: np.lib.stride_tricks.sliding_window_view(np.concatenate([x, np.full(STEP, rest)]).astype(kind), STEP)
     kind = np.int32 if n < 2**31 - STEP else np.int64
-    near, bytes_at = view(near, kind, -1), view(s, np.uint8, 0)
-    zeros = bool((s == 0).any())
-    found, hi = [], spans[:, 1]
-    begin, last, at = spans[:, 0].copy(), spans[:, 0].copy(), spans[:, 0].copy()  # state empty at, chunk begins at, next byte
-    h = np.zeros(len(at), np.uint32)
-    while len(at):
-        c = bytes_at[at]
-        hit = near[at] >= begin.astype(kind)[:, None]
-        if zeros:
-            # no byte before counts as byte 0, and what follows a byte not seen yet as 0 too
-            where = at[:, None] + np.arange(STEP)
-            first = where == begin[:, None]
-            before = np.where(first, 0, s[np.clip(where - 1, 0, n - 1)])
-            new = ~first & (last_of[np.minimum(where, n - 1)] < begin[:, None])
-            hit = np.where(first, c == 0, np.where(new, np.where(before == 0, s[np.minimum(begin, n - 1)][:, None] == c, c == 0), hit))
-        a = np.where(hit, np.uint32(HIT), np.uint32(MISS))
-        b = a * (c + np.uint32(1))
-        b[:, 0] += a[:, 0] * h
-        k = 1
-        while k < STEP:
-            b[:, k:] += a[:, k:] * b[:, :-k]
-            if 2 * k < STEP:
-                a[:, k:] *= a[:, :-k].copy()
-            k *= 2
-        row, p = np.nonzero(b > limit)
-        p = p + at[row]
-        ok = (p - last[row] >= cfg.min_match) & (p < hi[row])
-        row, one = np.unique(row[ok], return_index=True)
-        p = p[ok][one]
-        found.append(p)
-        at, h = at + STEP, b[:, -1].copy()
-        last[row], begin[row], at[row], h[row] = p, p + 1, p + 1, 0
+    order = np.argsort(s, kind="stable").astype(kind)
+    sorted_bytes, place = s[order], np.empty(n, kind)
+    place[order[:1]] = -1
+    place[order[1:]] = np.where(sorted_bytes[1:] == sorted_bytes[:-1], order[:-1], kind(-1))
+    last_of = np.concatenate([np.full(1, -1, kind), place[:-1]])
+    near = np.where(s[last_of + kind(1)] == s, last_of, kind(-1))
+    view = lambda x: np.lib.stride_tricks.sliding_window_view(np.concatenate([x, np.zeros(STEP, x.dtype)]), STEP)
+    near, bytes_at = view(near), view(s)
+    zeros, data = bool((s == 0).any()), s.data
+
+    def alone(begin: int, last: int, hi: int, stop: int, known: np.ndarray) -> list[int]:
+        found, follows, before, h, most = [], [0] * 256, 0, 0, int(limit)
+        for p, c in enumerate(data[begin:hi], begin):
+            h = ((h + c + 1) * (HIT if follows[before] == c else MISS)) & 0xFFFFFFFF
+            follows[before] = c
+            before = c
+            if h > most and p - last >= cfg.min_match:
+                found.append(p)
+                if p >= stop or known[p]:
+                    break
+                last, follows, before, h = p, [0] * 256, 0, 0
+        return found
+
+    def walk(at: np.ndarray, last: np.ndarray, hi: np.ndarray, stop: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cut), sorted: of each row up to its first cut from ``stop`` on or at a ``known`` place, or to ``hi``."""
+        row, begin, last, h = np.arange(len(at)), at.copy(), last.copy(), np.zeros(len(at), np.uint32)
+        rows, cuts = [row[:0]], [row[:0]]
         live = at < hi
-        if not live.all():
-            last, begin, at, h, hi = last[live], begin[live], at[live], h[live], hi[live]
-    return np.sort(np.concatenate(found))
+        while live.any():
+            if not live.all():
+                row, begin, last, at, h, hi, stop = (x[live] for x in (row, begin, last, at, h, hi, stop))
+            if len(at) <= FEW:
+                for i in range(len(at)):
+                    found = alone(int(begin[i]), int(last[i]), int(hi[i]), int(stop[i]), known)
+                    rows.append(np.full(len(found), row[i]))
+                    cuts.append(np.array(found, np.int64))
+                break
+            c = bytes_at[at]
+            hit = near[at] >= begin.astype(kind)[:, None]
+            if zeros:
+                # no byte before counts as byte 0, and what follows a byte not seen yet as 0 too
+                where = at[:, None] + np.arange(STEP)
+                first = where == begin[:, None]
+                before = np.where(first, 0, s[np.clip(where - 1, 0, n - 1)])
+                new = ~first & (last_of[np.minimum(where, n - 1)] < begin[:, None])
+                hit = np.where(first, c == 0, np.where(new, np.where(before == 0, s[np.minimum(begin, n - 1)][:, None] == c, c == 0), hit))
+            by = np.ascontiguousarray(np.where(hit, np.uint32(HIT), np.uint32(MISS)).T)
+            hs = np.ascontiguousarray(c.T).astype(np.uint32) + np.uint32(1)
+            for x, m in zip(hs, by, strict=True):
+                x += h
+                x *= m
+                h = x
+            k, r = np.divmod(np.flatnonzero(hs.ravel() > limit), len(at))
+            order = np.argsort(r, kind="stable")
+            r, p = r[order], (at[r] + k)[order]
+            ok = (p - last[r] >= cfg.min_match) & (p < hi[r])
+            r, p = r[ok], p[ok]
+            one = np.flatnonzero(np.diff(r, prepend=-1))
+            r, p = r[one], p[one]
+            rows.append(row[r])
+            cuts.append(p)
+            at, h = at + STEP, h.copy()
+            last[r], begin[r], at[r], h[r] = p, p + 1, p + 1, 0
+            live = at < hi
+            live[r[(p >= stop[r]) | known[p]]] = False
+        row, cut = np.concatenate(rows), np.concatenate(cuts)
+        order = np.lexsort((cut, row))
+        return row[order], cut[order]
+
+    return walk
 
 
 def chunk_ends(j: Joined, cfg: MatchConfig) -> np.ndarray:
