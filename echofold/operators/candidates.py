@@ -10,13 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.config import MatchConfig
-from ..functions.kernels import Found, Joined, find, find_overlay, together
-from .scans import cdc_chunks, grid_seeds
+from ..functions.kernels import Found, Joined, find, find_overlay
+from .scans import cdc_chunks, grid_seeds, joined
 
 SCHEMA = "stream_id long, src long, dst long, len long, method string, phase int"
 BASE, OVERLAY, EXTERNAL = 0, 1, 255
@@ -46,14 +45,6 @@ def find_candidates(streams: DataFrame, cfg: MatchConfig, *, best: bool = False)
     return streams.select("stream_id", "payload").mapInArrow(run, SCHEMA)
 
 
-def joined(batches):
-    """(ids, payloads joined) of Arrow batches of streams, some at a time."""
-    for b in batches:
-        ids, sizes = b["stream_id"].to_numpy(zero_copy_only=False), pc.binary_length(b["payload"]).to_numpy(zero_copy_only=False)
-        for r in together(sizes.tolist()):
-            yield ids[r.start : r.stop], Joined(b["payload"].slice(r.start, len(r)).to_pylist())
-
-
 def candidate_metrics(streams: DataFrame, cfg: MatchConfig) -> DataFrame:
     """(stream_id, raw_events, distinct_candidates) of the base method."""
     return metrics_of_methods(streams, {cfg.method: cfg}).drop("method")

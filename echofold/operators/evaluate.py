@@ -12,8 +12,8 @@ from ..functions.config import MatchConfig
 from ..functions.container import WIDTH
 from ..functions.errors import EngineError
 from ..functions.kernels import Found, Joined, chosen
-from .candidates import joined
 from .layouts import CRC_BYTES, HEADER_BYTES, TAIL_BYTES
+from .scans import joined
 
 #: key=value fields of a profile line, all numbers but the event's name.
 PROFILE_NUMBERS = ("elapsed_ms", "ram", "ram_peak", "temp", "temp_peak", "handles", "files", "io")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.config import MatchConfig
 from ..functions.hashing import PrefixHash, as_bytes, crc32c
-from ..functions.kernels import chunks as chunk_bounds
-from ..functions.kernels import representatives
+from ..functions.kernels import Joined, chunk_ends, representatives, together
 
 
 def blocks(streams: DataFrame, block_size: int) -> DataFrame:
@@ -86,17 +86,26 @@ def region_representatives(streams: DataFrame, region: int) -> DataFrame:
     return _per_stream(streams, make, "stream_id long, region_id long, position long, hash long, visible_at long", [pa.int64()] * 4)
 
 
+def joined(batches):
+    """(ids, payloads joined) of Arrow batches of streams, some at a time."""
+    for b in batches:
+        ids, sizes = b["stream_id"].to_numpy(zero_copy_only=False), pc.binary_length(b["payload"]).to_numpy(zero_copy_only=False)
+        for r in together(sizes.tolist()):
+            yield ids[r.start : r.stop], Joined(b["payload"].slice(r.start, len(r)).to_pylist())
+
+
 def cdc_chunks(streams: DataFrame, cfg: MatchConfig) -> DataFrame:
     """(stream_id, block_id, start, end, key): content-defined chunks by m1 or m2, with the MD5 of their bytes."""
 
     def run(batches):
-        for b in batches:
-            for sid, payload in zip(b["stream_id"].to_pylist(), b["payload"].to_pylist(), strict=True):
-                found = chunk_bounds(payload, cfg)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([sid] * len(found), pa.int64()), *(pa.array([x[i] for x in found], pa.int64()) for i in range(3)), pa.array([payload[a:e] for _, a, e in found], pa.binary())],
-                    ["stream_id", "block_id", "start", "end", "bytes"],
-                )
+        for ids, j in joined(batches):
+            ends = chunk_ends(j, cfg)
+            starts = np.concatenate([[0], ends])[:-1]
+            own = j.owner(starts)
+            at = starts - j.start[own]
+            numbers = [pa.array(x, pa.int64()) for x in (ids[own], at // cfg.block_size, at, ends - j.start[own])]
+            pieces = pa.array([j.data[a:e] for a, e in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*numbers, pieces], ["stream_id", "block_id", "start", "end", "bytes"])
 
     raw = streams.select("stream_id", "payload").mapInArrow(run, "stream_id long, block_id long, start long, end long, bytes binary")
     return raw.select("stream_id", "block_id", "start", "end", F.md5("bytes").alias("key"))
